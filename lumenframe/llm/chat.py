@@ -47,7 +47,7 @@ def format_chat(rows: DataFrame, conv_id: str = "conv_id", turn: str = "turn", r
     # An example ends at a reply; the replies' places split the turns.
     replies = F.filter(F.transform("turns", lambda t, i: F.when(t["role"] == REPLY, i)), lambda i: i.isNotNull())
     conv = conv.withColumn("ends", replies)
-    cuts = F.concat("ends", F.when(F.coalesce(F.element_at("ends", -1), F.lit(-1)) < F.size("turns") - 1, F.array(F.size("turns"))).otherwise(F.array().cast("array<int>")))
+    cuts = F.concat("ends", F.when(F.coalesce(F.try_element_at("ends", F.lit(-1)), F.lit(-1)) < F.size("turns") - 1, F.array(F.size("turns"))).otherwise(F.array().cast("array<int>")))
     conv = conv.select("conv_id", "turns", cuts.alias("cuts"), F.concat(F.array(F.lit(-1)), cuts).alias("before"))
     rows = conv.select("conv_id", F.posexplode(F.transform("cuts", lambda end, k: F.struct(end.alias("end"), F.get("turns", end).alias("reply"), F.slice("turns", F.get("before", k) + 2, end - F.get("before", k) - 1).alias("context")))).alias("example", "e"))
     said = F.concat(F.lit(START), escape_role(F.col("e.reply.role")), F.lit("\n"))

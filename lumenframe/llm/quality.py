@@ -18,12 +18,12 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lumenframe.llm.batches import Columns, append_columns, map_columns
+from lumenframe.llm.words import MIX, word_hashes
 from lumenframe.plans.scratch import cut
 
 BUCKETS = 1 << 16
@@ -31,29 +31,10 @@ LOSS = 20
 MIN_WORDS, MOST_REPEATED = 50, 50
 #: Scores are counted in steps of 1 / STEPS between -SPAN and SPAN.
 STEPS, SPAN = 256, 16
-REMEMBERED = 500_000
 SYMBOLS = b"#*$%&|<>"
 #: UTF-8 bytes that don't begin a code point.
 CONTINUES = bytes(range(0x80, 0xC0))
 BASE = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean"
-MIX = np.uint64(0x9E3779B97F4A7C15)
-
-_known: dict[bytes, int] = {}
-
-
-def word_hashes(words: list[bytes]) -> np.ndarray:
-    """64 bits a word, the same in every process."""
-    known = _known
-    try:
-        return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
-    except KeyError:
-        if len(known) > REMEMBERED:
-            known.clear()
-        for w in set(words):
-            if w not in known:
-                known[w] = xxhash.xxh3_64_intdigest(w)
-        return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
-
 
 def grams(h: np.ndarray) -> np.ndarray:
     """The bucket of every word and of every two words in a row."""

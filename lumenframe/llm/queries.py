@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenframe.llm import bpe, chat, licenses, packing, quality, urls, warc
+from lumenframe.llm import bpe, chat, jaccard, licenses, packing, quality, urls, warc
 from lumenframe.plans.tables import table
 
 #: The url rules.
@@ -47,7 +47,11 @@ def op8_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_license_scan, op2_warc, op4_byte_bpe, op5_quality_rules, op6_chat_format, op7_url_filter, op8_pack)}
+def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.similar_sets(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_license_scan, op2_warc, op4_byte_bpe, op5_quality_rules, op6_chat_format, op7_url_filter, op8_pack, op9_ngram_jaccard)}
 
 ORACLE = {
     "op6_chat_format": r"""
@@ -64,6 +68,21 @@ ORACLE = {
             sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
             sum(length(shown))::BIGINT AS formatted_chars
         FROM f GROUP BY conv_id""",
+    "op9_ngram_jaccard": r"""
+        WITH RECURSIVE w AS (
+            SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \t\n\x0B\f\r]+'), lambda x: x <> '') AS ws FROM documents
+        ), s AS (
+            SELECT DISTINCT doc_id, CASE WHEN len(ws) < 5 THEN array_to_string(ws, ' ') ELSE array_to_string(ws[i:i + 4], ' ') END AS g
+            FROM w, unnest(range(1, greatest(len(ws) - 4, 1) + 1)) AS u(i) WHERE len(ws) > 0
+        ), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+        l AS (
+            SELECT a.doc_id AS a, b.doc_id AS b FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id
+            JOIN n na ON na.doc_id = a.doc_id JOIN n nb ON nb.doc_id = b.doc_id
+            GROUP BY a.doc_id, b.doc_id, na.n, nb.n HAVING 100 * count(*) >= 80 * (na.n + nb.n - count(*))
+        ), r AS (
+            SELECT doc_id AS id, doc_id AS to_id FROM w UNION SELECT r.id, l.b FROM r JOIN l ON l.a = r.to_id
+        )
+        SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, (SELECT min(to_id) FROM r WHERE r.id = w.doc_id) AS component_id FROM w LEFT JOIN n USING (doc_id)""",
     "op7_url_filter": r"""
         WITH p AS (
             SELECT page_id, url,
