@@ -245,7 +245,7 @@ def similar_sets(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 
         return map_arrow(rows, run, "id binary, p binary").join(reps.select("id"), "id", "left_semi").dropDuplicates(["id"])
 
-    found = find_links(key_rows(rows, hot, small, percent), known, lambda x, y: near(x, y, percent), payloads, lambda x, y: links(x, y, percent))
+    found = find_links(key_rows(rows, hot, small, percent), lambda wanted: known.join(wanted, "id").select("id", "f"), lambda x, y: near(x, y, percent), payloads, lambda x, y: links(x, y, percent))
     comps = known.select("id", "doc_id").join(components(found), "id", "left").withColumn("comp", F.coalesce("comp", "id"))
     comps = cut(comps, "placed-sets")
     names = comps.groupBy("comp").agg(F.min("doc_id").alias("component_id"))

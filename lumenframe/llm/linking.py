@@ -166,14 +166,14 @@ def ordered(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def find_links(rows: DataFrame, features: DataFrame, near: Callable[[bytes, list[bytes]], np.ndarray], payloads: Callable[[DataFrame], DataFrame], test: Callable[[bytes, bytes], bool]) -> DataFrame:
+def find_links(rows: DataFrame, features: Callable[[DataFrame], DataFrame], near: Callable[[bytes, list[bytes]], np.ndarray], payloads: Callable[[DataFrame], DataFrame], test: Callable[[bytes, bytes], bool]) -> DataFrame:
     """Links (a, b) that span the same components as all links between ids that share a key.
 
-    ``features``: id, f; ``near`` must let every link through. ``payloads`` gives (id, p) for a table of ids, ``test``
-    decides."""
+    ``features`` gives (id, f) and ``payloads`` (id, p) for a table of ids. ``near`` must let every link through,
+    ``test`` decides."""
     shared = cut(shared_rows(rows), "shared")
     stars = shared.where("before is not null").select("id", F.explode(F.array_distinct(F.array("leader", "before"))).alias("to")).select(F.col("id").alias("a"), F.col("to").alias("b"))
-    f = features.select("id", "f")
+    f = cut(features(shared.select("id").distinct()), "features")
 
     def close(pairs: DataFrame) -> DataFrame:
         return test_pairs(pairs, f.withColumnRenamed("f", "p"), lambda x, y: bool(near(x, [y])[0]))

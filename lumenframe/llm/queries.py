@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenframe.llm import bpe, chat, jaccard, licenses, packing, quality, urls, warc
+from lumenframe.llm import bpe, chat, jaccard, licenses, lines, packing, quality, urls, warc
 from lumenframe.plans.tables import table
 
 #: The url rules.
@@ -22,6 +22,10 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select(F.col("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.line_report(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return bpe.bpe_digests(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN).drop("text")
@@ -51,7 +55,7 @@ def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.similar_sets(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_license_scan, op2_warc, op4_byte_bpe, op5_quality_rules, op6_chat_format, op7_url_filter, op8_pack, op9_ngram_jaccard)}
+QUERIES = {f.__name__: f for f in (op1_license_scan, op2_warc, op3_line_dedup, op4_byte_bpe, op5_quality_rules, op6_chat_format, op7_url_filter, op8_pack, op9_ngram_jaccard)}
 
 ORACLE = {
     "op6_chat_format": r"""
