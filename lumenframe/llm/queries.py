@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenframe.llm import bpe, chat, jaccard, licenses, lines, packing, quality, urls, warc
+from lumenframe.llm import bpe, chat, jaccard, licenses, lines, neighbours, packing, quality, urls, warc
 from lumenframe.plans.tables import table
 
 #: The url rules.
@@ -55,7 +55,11 @@ def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.similar_sets(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_license_scan, op2_warc, op3_line_dedup, op4_byte_bpe, op5_quality_rules, op6_chat_format, op7_url_filter, op8_pack, op9_ngram_jaccard)}
+def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {f.__name__: f for f in (op1_license_scan, op2_warc, op3_line_dedup, op4_byte_bpe, op5_quality_rules, op6_chat_format, op7_url_filter, op8_pack, op9_ngram_jaccard, op10_neighbours)}
 
 ORACLE = {
     "op6_chat_format": r"""
