@@ -1,15 +1,47 @@
-"""The corpus pipeline: quality rules, line dedup, near duplicates, packing."""
+"""The corpus pipeline: quality rules, line dedup, near duplicates, packing.
+
+Each stage is (spark, docs, sf_dir) -> DataFrame; all but the last return the columns of documents. ``run`` writes what
+each returns to the shared folder and reads it again as the next one's docs.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lumenframe.llm import packing, quality
+from lumenframe.llm import jaccard, lines, packing, quality
+from lumenframe.plans.scratch import cut
 from lumenframe.plans.tables import table
 
-STAGES: list = []
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality rules reject go."""
+    return quality.keep_good(docs, table(spark, sf_dir, "labels"))
+
+
+def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines that repeat an earlier one go, and documents that lose all their lines."""
+    return lines.dedup_lines(docs)
+
+
+def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near duplicates the document with the smallest id stays."""
+    return jaccard.keep_one(docs)
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents and their places in sequences."""
+    return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+STAGES = [("quality_rules", quality_stage), ("line_dedup", line_stage), ("ngram_jaccard", near_duplicate_stage), ("best_fit_packing", packing_stage)]
+
+#: Hashed scores, edit distances and token ids have no SQL; tests hold run() against a brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        docs = cut(stage(spark, docs, sf_dir), name)
+    return docs
