@@ -3,7 +3,8 @@ raw-corpus multinomial, divided by the number of n-grams, against one fixed thre
 
 The target is all documents whose label is good, the raw corpus all documents. Counts are summed per task into arrays
 of a fixed size (``BUCKETS``), so what the driver holds doesn't grow with the corpus. The threshold is read off the
-scores of all labelled documents, counted into fixed steps: the one with the fewest errors, where losing a good
+scores of all labelled documents, counted into fixed steps (a good one's own n-grams left out of the target, so that it is scored as an
+unlabelled one would be): the one with the fewest errors, where losing a good
 document weighs ``LOSS`` times as much as keeping a bad one; of equal ones the lowest.
 
 Edge cases: null and empty texts have no words and fail the base rules. Words are split at ASCII white space only.
@@ -16,6 +17,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -88,14 +90,33 @@ def base_values(raw: bytes, words: list[bytes], h: np.ndarray) -> tuple:
 
 @dataclass(frozen=True)
 class Model:
-    """Log ratio by bucket, and the score below which a document goes."""
+    """Counts by bucket of target and raw corpus, and the score below which a document goes."""
 
-    weights: np.ndarray
+    target: np.ndarray
+    raw: np.ndarray
     threshold: float
 
+    @cached_property
+    def weights(self) -> np.ndarray:
+        """Log of target over raw frequency, one added to each count."""
+        if not self.target.any():
+            return np.zeros(BUCKETS)
+        target, raw = ((c + 1) / (c.sum() + BUCKETS) for c in (self.target, self.raw))
+        return np.log(target) - np.log(raw)
+
     def score(self, h: np.ndarray) -> float:
         return float(self.weights[grams(h)].mean()) if len(h) else 0.0
 
+    def held_out(self, h: np.ndarray) -> float:
+        """The score of a document of the target, were it not in it."""
+        if not len(h) or not self.target.any():
+            return 0.0
+        g = grams(h).astype(np.int64)
+        own = np.bincount(g, minlength=BUCKETS)[g]
+        total = self.target.sum() + BUCKETS
+        with_it = self.target[g] + 1
+        return self.score(h) + float(np.log(np.maximum(with_it - own, 1) / with_it).mean()) + float(np.log(total / max(total - len(g), 1)))
+
 
 def with_labels(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", quality: str = "quality") -> DataFrame:
     """``docs`` with ``_good``: 1, 0, or null without label."""
@@ -103,8 +124,8 @@ def with_labels(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", qual
     return docs.join(marks, F.col(doc_id) == F.col("_id"), "left").drop("_id")
 
 
-def fit_weights(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id") -> np.ndarray:
-    """Log of target over raw frequency by bucket, one added to each count."""
+def fit_counts(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id") -> np.ndarray:
+    """How often each bucket occurs in the target, and in the raw corpus."""
 
     def run(batches: Iterator[Columns]) -> Iterator[Columns]:
         raw, target = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
@@ -125,14 +146,11 @@ def fit_weights(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id:
     sums = map_columns(marked, run, "bucket int, raw long, target long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).toPandas()
     counts = np.zeros((2, BUCKETS))
     counts[0, sums["bucket"]], counts[1, sums["bucket"]] = sums["target"], sums["raw"]
-    if not counts[0].any():
-        return np.zeros(BUCKETS)
-    target, raw = ((c + 1) / (c.sum() + BUCKETS) for c in counts)
-    return np.log(target) - np.log(raw)
+    return counts
 
 
 def judge(docs: DataFrame, model: Model, text: str = "text", keep_only: bool = False) -> DataFrame:
-    """``docs`` with BASE's columns, score and kept; or its own columns and kept rows only."""
+    """``docs`` with BASE's columns, score, held_out and kept; or its own columns and kept rows only."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS numbers
 
     def run(texts: list[str | None]) -> Iterator[tuple | None]:
@@ -144,15 +162,16 @@ def judge(docs: DataFrame, model: Model, text: str = "text", keep_only: bool = F
             base = base_values(raw, words, h)
             score = m.score(h)
             kept = not base[-1] and score >= m.threshold
-            yield (() if kept else None) if keep_only else (*base, score, kept)
+            yield (() if kept else None) if keep_only else (*base, score, m.held_out(h), kept)
 
-    return append_columns(docs, run, text, T.StructType() if keep_only else BASE + ", score double, kept boolean")
+    return append_columns(docs, run, text, T.StructType() if keep_only else BASE + ", score double, held_out double, kept boolean")
 
 
 def threshold(scored: DataFrame, labels: DataFrame) -> float:
-    """From doc_id, score and base_failed of all documents; what fails the base rules doesn't count."""
+    """From doc_id, score, held_out and base_failed of all documents; what fails the base rules doesn't count."""
     marked = with_labels(scored.where("not base_failed"), labels).where("_good is not null")
-    step = F.floor(F.least(F.greatest("score", F.lit(-SPAN)), F.lit(SPAN)) * STEPS).cast("int")
+    score = F.when(F.col("_good") == 1, F.col("held_out")).otherwise(F.col("score"))
+    step = F.floor(F.least(F.greatest(score, F.lit(-SPAN)), F.lit(SPAN)) * STEPS).cast("int")
     seen = marked.groupBy(step.alias("step")).agg(F.sum("_good").alias("good"), F.sum(1 - F.col("_good")).alias("bad")).toPandas().sort_values("step")
     if not len(seen) or not seen["good"].sum():
         return -np.inf
@@ -165,10 +184,10 @@ def threshold(scored: DataFrame, labels: DataFrame) -> float:
 
 def fit(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id") -> tuple[Model, DataFrame]:
     """The model, and every document's id, BASE's columns and score."""
-    weights = fit_weights(docs, labels, text, doc_id)
+    target, raw = fit_counts(docs, labels, text, doc_id)
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    scored = cut(judge(rows, Model(weights, -np.inf)).drop("text", "kept"), "quality")
-    return Model(weights, threshold(scored, labels)), scored
+    scored = cut(judge(rows, Model(target, raw, -np.inf)).drop("text", "kept"), "quality")
+    return Model(target, raw, threshold(scored, labels)), scored
 
 
 def quality_rules(docs: DataFrame, labels: DataFrame) -> DataFrame:
