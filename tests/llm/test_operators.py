@@ -216,15 +216,16 @@ def test_quality_base_values():
 
 def test_quality_keeps_prose_and_drops_junk(spark):
     rng = random.Random(7)
-    good = [" ".join(rng.choice(BASE.split()) for _ in range(80)) for _ in range(40)]
-    bad = [" ".join("".join(rng.choice("qxzj") for _ in range(7)) for _ in range(80)) for _ in range(10)]
+    # enough of both that most pairs of words occur often
+    good = [" ".join(rng.choice(BASE.split()) for _ in range(80)) for _ in range(300)]
+    bad = [" ".join(rng.choice("qxzj") * rng.randint(4, 8) for _ in range(80)) for _ in range(60)]
     df = docs(spark, good + bad + [None, ""])
-    labels = spark.createDataFrame([(i, 1, 0) for i in range(0, 40, 2)] + [(i, 0, 0) for i in range(40, 50, 2)] + [(None, 1, 0), (999, 1, 0)], "doc_id long, quality int, toxic int")
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(0, 300, 2)] + [(i, 0, 0) for i in range(300, 360, 2)] + [(None, 1, 0), (999, 1, 0)], "doc_id long, quality int, toxic int")
     kept = {r["doc_id"]: r["kept"] for r in quality.quality_rules(df, labels).collect()}
-    assert [kept[i] for i in range(52)] == [quality.n_repeated(quality.word_hashes(t.encode().split())) * 2 <= 80 for t in good] + [False] * 12
+    assert [kept[i] for i in range(362)] == [quality.n_repeated(quality.word_hashes(t.encode().split())) * 2 <= 80 for t in good] + [False] * 62
     out = quality.keep_good(df, labels)
     assert out.columns == df.columns and {r["doc_id"] for r in out.collect()} == {i for i in kept if kept[i]}
-    assert quality.quality_rules(df, labels.limit(0)).count() == 52 and quality.keep_good(empty(spark), labels).count() == 0
+    assert quality.quality_rules(df, labels.limit(0)).count() == 362 and quality.keep_good(empty(spark), labels).count() == 0
 
 
 # --- chat
