@@ -1,8 +1,9 @@
 """Quality rules: the log-likelihood ratio of hashed word n-grams (one and two words) between a trusted-target and a
 raw-corpus multinomial, divided by the number of n-grams, against one fixed threshold for every document.
 
-The target is all documents whose label is good, the raw corpus all documents. Counts are summed per task into arrays
-of a fixed size (``BUCKETS``), so what the driver holds doesn't grow with the corpus. The threshold is read off the
+The target is fitted on at most ``TARGET`` documents whose label is good (the smallest ids by hash, so the same ones
+every time; the ids alone travel to the tasks), the raw corpus is all documents. Counts are summed per task into arrays
+of a fixed size (``BUCKETS``), so what the driver holds doesn't grow with the corpus, and texts are never shuffled. The threshold is read off the
 scores of all labelled documents, counted into fixed steps (a good one's own n-grams left out of the target, so that it is scored as an
 unlabelled one would be): the one with the fewest errors, where losing a good
 document weighs ``LOSS`` times as much as keeping a bad one; of equal ones the lowest.
@@ -29,6 +30,8 @@ from lumenframe.llm.words import MIX, word_hashes
 from lumenframe.plans.scratch import cut
 
 BUCKETS = 1 << 16
+#: Most labelled documents that the target multinomial is fitted on.
+TARGET = 200_000
 LOSS = 20
 MIN_WORDS, MOST_REPEATED = 50, 50
 #: Scores are counted in steps of 1 / STEPS between -SPAN and SPAN.
@@ -124,26 +127,35 @@ def with_labels(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", qual
     return docs.join(marks, F.col(doc_id) == F.col("_id"), "left").drop("_id")
 
 
-def fit_counts(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id") -> np.ndarray:
+def trusted_ids(labels: DataFrame, most: int = TARGET, doc_id: str = "doc_id", quality: str = "quality") -> np.ndarray:
+    """Of the documents whose labels are good, at most ``most`` ids, sorted."""
+    marks = labels.where(F.col(doc_id).isNotNull() & F.col(quality).isNotNull()).groupBy(F.col(doc_id).cast("long").alias("id")).agg(F.min(quality).alias("good"))
+    drawn = marks.where("good = 1").orderBy(F.xxhash64("id"), "id").limit(most).select("id").toArrow()
+    return np.sort(drawn.column("id").to_numpy())
+
+
+def fit_counts(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", most: int = TARGET) -> np.ndarray:
     """How often each bucket occurs in the target, and in the raw corpus."""
+    trusted = docs.sparkSession.sparkContext.broadcast(trusted_ids(labels, most, doc_id))  # at most ``most`` ids
 
     def run(batches: Iterator[Columns]) -> Iterator[Columns]:
         raw, target = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
+        ids = set(trusted.value.tolist())
         for b in batches:
-            for t, good in zip(b["text"], b["_good"], strict=True):
+            for t, d in zip(b["text"], b["doc_id"], strict=True):
                 words = (t or "").encode("utf-8", "surrogatepass").split()
                 if words:
                     g = grams(word_hashes(words)).astype(np.int64)
                     np.add.at(raw, g, 1)
-                    if good == 1:
+                    if d in ids:
                         np.add.at(target, g, 1)
         at = np.flatnonzero(raw)
         for x in range(0, len(at), 16384):
             part = at[x : x + 16384]
             yield {"bucket": part.tolist(), "raw": raw[part].tolist(), "target": target[part].tolist()}
 
-    marked = with_labels(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), labels).select("text", "_good")
-    sums = map_columns(marked, run, "bucket int, raw long, target long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).toPandas()
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    sums = map_columns(rows, run, "bucket int, raw long, target long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).toPandas()
     counts = np.zeros((2, BUCKETS))
     counts[0, sums["bucket"]], counts[1, sums["bucket"]] = sums["target"], sums["raw"]
     return counts
