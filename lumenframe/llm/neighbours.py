@@ -32,6 +32,8 @@ from pyspark.sql import functions as F
 from lumenframe.llm.linking import map_arrow
 from lumenframe.plans.scratch import cut
 
+#: Queries whose nearest a task gathers before it passes them on.
+HELD = 50_000
 TREES, LEAF, SAMPLE, SEARCH, SHARE, BLOCK = 16, 96, 65_536, 8_000, 0.4, 2_048
 
 
@@ -183,12 +185,22 @@ def nearest(vectors: DataFrame, k: int = 5, every: int = 50, trees: int = TREES,
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[list[pa.Array]]:
         now, ids, vs, least, norms = None, [], np.empty((0, dim)), np.empty(0, np.int64), np.empty(0)
+        best: dict[int, dict[int, float]] = {}  # of each query, what the task has met so far
+
+        def nearest_of(met: dict[int, float]) -> list[tuple[int, float]]:
+            return sorted(met.items(), key=lambda x: (-x[1], x[0]))[:k]
+
+        def flush() -> Iterator[list[pa.Array]]:
+            out = [(q, i, s) for q, met in best.items() for i, s in nearest_of(met)]
+            best.clear()
+            if out:
+                yield [pa.array(c) for c in zip(*out, strict=True)]
+
         for b in batches:
             v = matrix(b.column(4))
             queries, owned = b.column(3).to_pylist(), b.column(5).to_pylist()
             marks = np.stack([b.column(i).to_numpy() for i in range(3)], axis=1)
             cuts = [0, *(np.flatnonzero((marks[1:] != marks[:-1]).any(axis=1)) + 1).tolist(), len(marks)]
-            out: list[tuple] = []
             for x, y in zip(cuts, cuts[1:], strict=False):
                 key = tuple(marks[x])
                 if key != now:
@@ -205,9 +217,15 @@ def nearest(vectors: DataFrame, k: int = 5, every: int = 50, trees: int = TREES,
                         top = np.flatnonzero(score >= score[top].min())
                         top = top[np.lexsort((least[top], -score[top]))][: k + 1]
                     mine = sorted((-float(score[t]), j) for t in top for j in ids[t] if j != queries[i])[:k]
-                    out += [(queries[i], j, -s) for s, j in mine]
-            if out:
-                yield [pa.array(c) for c in zip(*out, strict=True)]
+                    met = best.setdefault(queries[i], {})
+                    for s, j in mine:
+                        if -s > met.get(j, -2.0):
+                            met[j] = -s
+                    if len(met) > 8 * k:
+                        best[queries[i]] = dict(nearest_of(met))
+            if len(best) > HELD:
+                yield from flush()
+        yield from flush()
 
     found = map_arrow(dealt, compare, "query_id long, vec_id long, score double")
     best = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
