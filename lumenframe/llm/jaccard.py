@@ -11,7 +11,8 @@ of long lists last: a counting table of a fixed size, filled over all documents,
 the largest size whose subsets cost no more than its lists, at the mean list length measured. Sets close above and
 below the boundary are in the lists too, so no link across it is missed.
 
-Exact copies have one set and are one id. Links are tested on whole sets. ``linking`` says how hot lists are dealt with.
+Exact copies have one set and are one id. Short sketches travel with list entries and long ones with the pairs that
+these let through; both rule out only what can't link. Links are tested on whole sets. ``linking`` says how hot lists are dealt with.
 
 Edge cases: null and empty texts, and such without words, have the empty set, which links with nothing. Rows with the
 same doc_id and different texts are judged each by its own text. Rows without doc_id are returned with the component
@@ -109,13 +110,29 @@ def subset_keys(s: np.ndarray, percent: int = PERCENT) -> list[int]:
     return out
 
 
-def sketch(s: np.ndarray) -> bytes:
-    """Size, then the parity of the elements at each place: sets that differ in d elements differ in d places at most."""
-    places = (s >> np.uint64(20)) % np.uint64(8 * SKETCH)
-    parity = np.bincount(places.astype(np.int64), minlength=8 * SKETCH) & 1
+def sketch(s: np.ndarray, size: int = SKETCH) -> bytes:
+    """Size of the set, then the parity of the elements at each of 8 * ``size`` places: sets that differ in d elements
+    differ in d places at most."""
+    places = (s >> np.uint64(20)) % np.uint64(8 * size)
+    parity = np.bincount(places.astype(np.int64), minlength=8 * size) & 1
     return len(s).to_bytes(4, "little") + np.packbits(parity.astype(np.uint8)).tobytes()
 
 
+def long_sketch(s: np.ndarray) -> bytes | None:
+    """A sketch of two places an element or more; None where ``sketch`` has as many. Pairs get it, list entries don't."""
+    size = (1 << (2 * len(s) - 1).bit_length()) // 8
+    return sketch(s, size) if size > SKETCH else None
+
+
+def near_by_long(p: bytes, q: bytes, percent: int = PERCENT) -> bool:
+    """As ``near``, for sketches of any two lengths: the longer one is folded to the places of the shorter."""
+    if len(p) > len(q):
+        p, q = q, p
+    places = len(p) - 4
+    folded = np.bitwise_xor.reduce(np.frombuffer(q, np.uint8, offset=4).reshape(-1, places), axis=0).tobytes()
+    return bool(near(p, [q[:4] + folded], percent)[0])
+
+
 def near(one: bytes, others: list[bytes], percent: int = PERCENT) -> np.ndarray:
     """False only where sizes or sketches rule a link out."""
     a = int.from_bytes(one[:4], "little")
@@ -133,12 +150,12 @@ def links(p: bytes, q: bytes, percent: int = PERCENT) -> bool:
 
 
 def scan_sets(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, np.ndarray]:
-    """doc_id, n, id and f (sketch) of every document, and the table of list lengths in hash order."""
+    """doc_id, n, id, f (sketch) and g (long sketch) of every document, and the table of list lengths in hash order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[list[pa.Array]]:
         counts, seen = np.zeros(1 << TABLE_BITS, np.uint32), set()
         for b in batches:
-            ids, sizes, features = [], [], []
+            ids, sizes, features, long_ones = [], [], [], []
             for t in b.column(1).to_pylist():
                 s = shingles(t)
                 i = set_id(s) if len(s) else None
@@ -150,14 +167,15 @@ def scan_sets(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, np.nd
                 ids.append(i)
                 sizes.append(len(s))
                 features.append(sketch(s) if len(s) else None)
+                long_ones.append(long_sketch(s) if len(s) else None)
             none = pa.nulls(len(ids), pa.int32())
-            yield [b.column(0), pa.array(sizes, pa.int64()), pa.array(ids, pa.binary()), pa.array(features, pa.binary()), none]
+            yield [b.column(0), pa.array(sizes, pa.int64()), pa.array(ids, pa.binary()), pa.array(features, pa.binary()), pa.array(long_ones, pa.binary()), none]
         for c in range(0, len(counts), CHUNK):
             part = counts[c : c + CHUNK]
             if part.any():
-                yield [pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([zlib.compress(part.astype("<u4").tobytes(), 1)], pa.binary()), pa.array([c // CHUNK], pa.int32())]
+                yield [pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([zlib.compress(part.astype("<u4").tobytes(), 1)], pa.binary()), pa.nulls(1, pa.binary()), pa.array([c // CHUNK], pa.int32())]
 
-    both = cut(map_arrow(docs.select("doc_id", "text"), run, "doc_id long, n long, id binary, f binary, chunk int"), "sets")
+    both = cut(map_arrow(docs.select("doc_id", "text"), run, "doc_id long, n long, id binary, f binary, g binary, chunk int"), "sets")
 
     def add(t: pa.Table) -> pa.Table:
         total = sum(np.frombuffer(zlib.decompress(x), "<u4").astype(np.uint64) for x in t.column("f").to_pylist())
@@ -217,7 +235,7 @@ def similar_sets(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     mean_list = (held**2).sum() / held.sum() if len(held) else 1.0
     hot = table >= max(HOT, MEANS * mean)
     small = boundary(mean_list, percent)
-    known = sets.where("id is not null").groupBy("id").agg(F.min("doc_id").alias("doc_id"), F.first("f").alias("f"))
+    known = sets.where("id is not null").groupBy("id").agg(F.min("doc_id").alias("doc_id"), F.first("f").alias("f"), F.first("g").alias("g"))
     known = cut(known, "known-sets")
 
     def payloads(wanted: DataFrame) -> DataFrame:
@@ -245,7 +263,20 @@ def similar_sets(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 
         return map_arrow(rows, run, "id binary, p binary").join(reps.select("id"), "id", "left_semi").dropDuplicates(["id"])
 
-    found = find_links(key_rows(rows, hot, small, percent), lambda wanted: known.join(wanted, "id").select("id", "f"), lambda x, y: near(x, y, percent), payloads, lambda x, y: links(x, y, percent))
+    def features(wanted: DataFrame) -> DataFrame:
+        return known.join(wanted, "id").select("id", "f")
+
+    def long_features(wanted: DataFrame) -> DataFrame:
+        return known.join(wanted, "id").select("id", F.coalesce("g", "f").alias("p"))
+
+    found = find_links(
+        key_rows(rows, hot, small, percent),
+        features,
+        lambda x, y: near(x, y, percent),
+        payloads,
+        lambda x, y: links(x, y, percent),
+        (long_features, lambda x, y: near_by_long(x, y, percent)),
+    )
     comps = known.select("id", "doc_id").join(components(found), "id", "left").withColumn("comp", F.coalesce("comp", "id"))
     comps = cut(comps, "placed-sets")
     names = comps.groupBy("comp").agg(F.min("doc_id").alias("component_id"))

@@ -166,11 +166,12 @@ def ordered(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def find_links(rows: DataFrame, features: Callable[[DataFrame], DataFrame], near: Callable[[bytes, list[bytes]], np.ndarray], payloads: Callable[[DataFrame], DataFrame], test: Callable[[bytes, bytes], bool]) -> DataFrame:
+def find_links(rows: DataFrame, features: Callable[[DataFrame], DataFrame], near: Callable[[bytes, list[bytes]], np.ndarray], payloads: Callable[[DataFrame], DataFrame], test: Callable[[bytes, bytes], bool], finer: tuple[Callable[[DataFrame], DataFrame], Callable[[bytes, bytes], bool]] | None = None) -> DataFrame:
     """Links (a, b) that span the same components as all links between ids that share a key.
 
     ``features`` gives (id, f) and ``payloads`` (id, p) for a table of ids. ``near`` must let every link through,
-    ``test`` decides."""
+    ``test`` decides. ``finer``, if given, has larger features (id, p) and a test on them that lets every link through:
+    payloads are then shuffled only for pairs that pass it."""
     shared = cut(shared_rows(rows), "shared")
     stars = shared.where("before is not null").select("id", F.explode(F.array_distinct(F.array("leader", "before"))).alias("to")).select(F.col("id").alias("a"), F.col("to").alias("b"))
     f = cut(features(shared.select("id").distinct()), "features")
@@ -178,10 +179,14 @@ def find_links(rows: DataFrame, features: Callable[[DataFrame], DataFrame], near
     def close(pairs: DataFrame) -> DataFrame:
         return test_pairs(pairs, f.withColumnRenamed("f", "p"), lambda x, y: bool(near(x, [y])[0]))
 
+    def ends(pairs: DataFrame) -> DataFrame:
+        return pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
+
     def verified(pairs: DataFrame, tag: str) -> DataFrame:
         pairs = cut(pairs, tag)
-        wanted = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-        return cut(test_pairs(pairs, payloads(wanted), test), tag + "-links")
+        if finer:
+            pairs = cut(test_pairs(pairs, finer[0](ends(pairs)), finer[1]), tag + "-finer")
+        return cut(test_pairs(pairs, payloads(ends(pairs)), test), tag + "-links")
 
     first = verified(close(ordered(stars)), "stars")
     comps = components(first)
