@@ -2,8 +2,9 @@
 
 No step lists all pairs of a group. Round 1 tests, for each row of a key with several ids, the key's smallest id and
 the id before it: pairs grow with the rows. Components of the links found so far come next. Round 2 takes only keys
-whose ids still lie in different components, in blocks of bounded size, and tests every pair across components that
-an exact bound on features lets through. Every link thus lies within a component that the links returned also span.
+of more than ``FEW`` ids (of the others round 1 tests all pairs) that still lie in different components, in blocks of
+bounded size, and tests every pair across components that an exact bound on features lets through. Every link thus lies
+within a component that the links returned also span.
 
 Ids are 16 bytes. Rows of equal (key, id) count once. Keys are read in order as a stream, so a hot key needs no memory.
 """
@@ -11,6 +12,7 @@ Ids are 16 bytes. Rows of equal (key, id) count once. Keys are read in order as
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +26,8 @@ from lumenframe.plans.scratch import cut
 
 #: Ids in a block of round 2.
 BLOCK = 512
+#: Of a key with so many ids or fewer, round 1 tests every pair: each id against the smallest and the one before.
+FEW = 3
 LINK = "a binary, b binary"
 
 
@@ -52,43 +56,42 @@ def map_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[
 
 
 def shared_rows(rows: DataFrame) -> DataFrame:
-    """Of rows (key long, id binary): key, id, leader (the key's smallest id) and before (the id before; null for the
-    leader), for keys that several ids have."""
+    """Of rows (key long, id binary): key, id, leader (the key's smallest id), before (the id before; null for the
+    leader) and many (more than ``FEW`` ids have the key), for keys that several ids have."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[list[pa.Array]]:
-        # The last row of a batch waits for its successor: its key, id, leader, and the id before it in its key.
-        held: tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray | None] | None = None
-
-        def out(key: np.ndarray, ids: np.ndarray, lead: np.ndarray, before: np.ndarray, follows: np.ndarray, shared: np.ndarray) -> list[pa.Array]:
-            prior = pc.if_else(pa.array(follows[shared]), id_bytes(before[shared]), pa.scalar(None, pa.binary()))
-            return [pa.array(key[shared]), id_bytes(ids[shared]), id_bytes(lead[shared]), prior]
-
-        for b in batches:
-            key, ids = b.column(0).to_numpy(), id_words(b.column(1))
-            if held:
-                key, ids = np.concatenate((held[0], key)), np.concatenate((held[1], ids))
-            repeats = np.zeros(len(key), bool)
-            repeats[1:] = (key[1:] == key[:-1]) & (ids[1:] == ids[:-1]).all(axis=1)
-            key, ids = key[~repeats], ids[~repeats]
-            follows = np.zeros(len(key), bool)  # has a smaller id of its key before it
-            follows[1:] = key[1:] == key[:-1]
-            start = np.maximum.accumulate(np.where(follows, 0, np.arange(len(key))))
-            lead, before = ids[start], np.roll(ids, 1, axis=0)
-            if held:
-                lead[start == 0] = held[2][0]
-                if held[3] is not None:
-                    before[0], follows[0] = held[3], True
-            shared = follows.copy()
-            shared[:-1] |= key[1:] == key[:-1]
-            n = len(key) - 1
-            if n:
-                yield out(key[:n], ids[:n], lead[:n], before[:n], follows[:n], shared[:n])
-            held = key[n:], ids[n:], lead[n:], before[n] if follows[n] else None
-        if held and held[3] is not None:
-            yield out(*held[:3], held[3][None], np.array([True]), np.array([True]))
+        # The last FEW rows wait for their successors. Of the row before them: key, id, leader, rank in its key.
+        prior: tuple[int, np.ndarray, np.ndarray, int] | None = None
+        key, ids = np.empty(0, np.int64), np.empty((0, 2), "<u8")
+        for b in chain(batches, [None]):
+            if b is not None:
+                key, ids = np.concatenate((key, b.column(0).to_numpy())), np.concatenate((ids, id_words(b.column(1))))
+                new = np.ones(len(key), bool)
+                new[1:] = (key[1:] != key[:-1]) | (ids[1:] != ids[:-1]).any(axis=1)
+                key, ids = key[new], ids[new]
+            ready = len(key) if b is None else len(key) - FEW
+            if ready <= 0:
+                continue
+            at = np.arange(len(key))
+            goes_on = np.append(key[1:] == key[:-1], False)  # the next row has the same key
+            follows = np.roll(goes_on, 1)
+            start = np.maximum.accumulate(np.where(follows, 0, at))
+            rank, lead, before = at - start, ids[start], np.roll(ids, 1, axis=0)
+            if prior and prior[0] == key[0]:
+                first = start == 0
+                rank[first] += prior[3] + 1
+                lead[first], before[0], follows[0] = prior[2], prior[1], True
+            ahead = np.minimum(at + np.maximum(FEW - rank, 0), len(key) - 1)  # the row of rank FEW, if the key has one
+            many = (rank >= FEW) | (at + FEW - rank < len(key)) & (key[ahead] == key)
+            shared = np.flatnonzero((follows | goes_on)[:ready])
+            prior_ids = pc.if_else(pa.array(follows[shared]), id_bytes(before[shared]), pa.scalar(None, pa.binary()))
+            yield [pa.array(key[shared]), id_bytes(ids[shared]), id_bytes(lead[shared]), prior_ids, pa.array(many[shared])]
+            last = ready - 1
+            prior = int(key[last]), ids[last].copy(), lead[last].copy(), int(rank[last])
+            key, ids = key[ready:], ids[ready:]
 
     dealt = rows.repartition("key").sortWithinPartitions("key", "id")
-    return map_arrow(dealt, run, "key long, id binary, leader binary, before binary")
+    return map_arrow(dealt, run, "key long, id binary, leader binary, before binary, many boolean")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -190,7 +193,7 @@ def find_links(rows: DataFrame, features: Callable[[DataFrame], DataFrame], near
 
     first = verified(close(ordered(stars)), "stars")
     comps = components(first)
-    placed = cut(shared.select("key", "id").join(comps, "id", "left").withColumn("comp", F.coalesce("comp", "id")), "placed")
+    placed = cut(shared.where("many").select("key", "id").join(comps, "id", "left").withColumn("comp", F.coalesce("comp", "id")), "placed")
     mixed = placed.groupBy("key").agg(F.count("*").alias("n"), F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
     left = placed.join(mixed, "key").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     left = left.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
