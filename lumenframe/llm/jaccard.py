@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenframe.llm.linking import components, find_links, id_bytes, map_arrow
+from lumenframe.llm.linking import components, find_links, id_bytes, id_words, map_arrow
 from lumenframe.llm.words import MIX, scramble, word_hashes
 from lumenframe.plans.scratch import cut
 
@@ -267,7 +267,19 @@ def similar_sets(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
         return known.join(wanted, "id").select("id", "f")
 
     def long_features(wanted: DataFrame) -> DataFrame:
-        return known.join(wanted, "id").select("id", F.coalesce("g", "f").alias("p"))
+        # a filter of fixed size spares most sketches the shuffle; the join decides
+        wanted = cut(wanted, "wanted-sketches")
+        first = F.conv(F.hex(F.substring("id", 1, 7)), 16, 10).cast("long")  # 56 bits of an id
+        shared = docs.sparkSession.sparkContext.broadcast(filter_bits(wanted.select(first), 24))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[list[pa.Array]]:
+            take = np.unpackbits(shared.value).view(bool)
+            for b in batches:
+                firsts = id_words(b.column(0))[:, 0].byteswap() >> np.uint64(8)
+                mask = pa.array(take[scramble(firsts) & np.uint64(len(take) - 1)])
+                yield [b.column(0).filter(mask), b.column(1).filter(mask)]
+
+        return map_arrow(known.select("id", F.coalesce("g", "f").alias("p")), run, "id binary, p binary").join(wanted, "id")
 
     found = find_links(
         key_rows(rows, hot, small, percent),
