@@ -1,8 +1,9 @@
 """Line dedup over the whole corpus by a segment-partition edit join.
 
-Lines of at least ``MIN_CHARS`` code points take part; shorter ones always stay. Two lines link when their edit
-distance is at most ``THRESHOLD``; equal lines are one. Of each component of links the line that comes first (by
-doc_id, then line number) stays, all others go.
+Lines with a word (anything but ASCII white space) take part, whatever their length; lines without one always stay.
+Equal lines are one. Two lines of at least ``MIN_CHARS`` code points also link when their edit distance is at most
+``THRESHOLD``: below that a segment is too short to tell lines apart. Of each component of links the line that comes
+first (by doc_id, then line number) stays, all others go. With ``short=False`` lines under ``MIN_CHARS`` all stay.
 
 A line of n code points is cut into THRESHOLD + 1 segments, so whatever lies within the threshold keeps one of them
 whole. Keys are hashes of (length, segment's number, its text): a line writes those of its own segments, and those of
@@ -11,8 +12,8 @@ on either side allow. Lines that share a key are compared by a banded bit-parall
 character counts. ``linking`` says how hot keys are dealt with.
 
 Edge cases: null texts stay null and have no lines; an empty text has one empty line. Rows without doc_id come first.
-Repeated rows: the lines of all but one go. A document that loses all its lines has an empty text (``drop_empty``
-lets it go). Extra columns pass through.
+Repeated rows: the lines of all but one go. A document that loses lines and has no word left goes with
+``drop_empty``. Extra columns pass through.
 """
 
 from __future__ import annotations
@@ -31,6 +32,7 @@ from lumenframe.llm.words import scramble
 from lumenframe.plans.scratch import cut
 
 THRESHOLD, MIN_CHARS = 2, 40
+BLANK = " \t\r\x0b\x0c"
 #: Counters of the bound on character counts.
 COUNTS = 48
 
@@ -182,7 +184,7 @@ def lines_of(docs: DataFrame, wanted: DataFrame, make, min_chars: int = MIN_CHAR
     return rows.join(wanted, "id", "left_semi").dropDuplicates(["id"])
 
 
-def occurrences(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
+def occurrences(docs: DataFrame, min_chars: int = MIN_CHARS, short: bool = True) -> DataFrame:
     """doc_id, line (number from 0), id of every line that takes part."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[list[pa.Array]]:
@@ -190,7 +192,7 @@ def occurrences(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
             docs_out, numbers, ids = [], [], []
             for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 for k, line in enumerate((t or "").split("\n")):
-                    if len(line) >= min_chars:
+                    if (short or len(line) >= min_chars) and line.strip(BLANK):
                         docs_out.append(d)
                         numbers.append(k)
                         ids.append(line_id(line))
@@ -199,7 +201,7 @@ def occurrences(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     return map_arrow(docs.select(F.col("doc_id").cast("long"), "text"), run, "doc_id long, line int, id binary")
 
 
-def dropped_lines(docs: DataFrame, threshold: int = THRESHOLD, min_chars: int = MIN_CHARS) -> DataFrame:
+def dropped_lines(docs: DataFrame, threshold: int = THRESHOLD, min_chars: int = MIN_CHARS, short: bool = True) -> DataFrame:
     """doc_id, line, source_doc, source_line (the line of its component that stays) of every line that goes."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
 
@@ -214,7 +216,7 @@ def dropped_lines(docs: DataFrame, threshold: int = THRESHOLD, min_chars: int =
 
     found = find_links(key_rows(docs, threshold, min_chars), features, lambda x, y: near(x, y, threshold), payloads, test)
     comps = components(found)
-    places = cut(occurrences(docs, min_chars), "lines")
+    places = cut(occurrences(docs, min_chars, short), "lines")
     first = places.groupBy("id").agg(F.min(F.struct("doc_id", "line")).alias("first"), F.count("*").alias("n"))
     first = first.join(comps, "id", "left")
     linked = first.where("comp is not null")
@@ -224,24 +226,24 @@ def dropped_lines(docs: DataFrame, threshold: int = THRESHOLD, min_chars: int =
     return gone.select("doc_id", "line", F.col("first.doc_id").alias("source_doc"), F.col("first.line").alias("source_line"))
 
 
-def line_report(docs: DataFrame, threshold: int = THRESHOLD, min_chars: int = MIN_CHARS) -> DataFrame:
+def line_report(docs: DataFrame, threshold: int = THRESHOLD, min_chars: int = MIN_CHARS, short: bool = False) -> DataFrame:
     """Of every row: doc_id, n_lines, n_dropped, dropped (line numbers), source_docs (where their firsts stand)."""
-    gone = dropped_lines(docs, threshold, min_chars).groupBy("doc_id").agg(F.array_sort(F.collect_set("line")).alias("dropped"), F.array_sort(F.collect_set("source_doc")).alias("source_docs"))
+    gone = dropped_lines(docs, threshold, min_chars, short).groupBy("doc_id").agg(F.array_sort(F.collect_set("line")).alias("dropped"), F.array_sort(F.collect_set("source_doc")).alias("source_docs"))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n"))).alias("n_lines"))
     out = rows.join(gone.withColumnRenamed("doc_id", "_d"), F.col("doc_id").eqNullSafe(F.col("_d")), "left")
     none = F.array().cast("array<int>"), F.array().cast("array<bigint>")
     return out.select("doc_id", "n_lines", F.coalesce(F.size("dropped"), F.lit(0)).alias("n_dropped"), F.coalesce("dropped", none[0]).alias("dropped"), F.coalesce("source_docs", none[1]).alias("source_docs"))
 
 
-def dedup_lines(docs: DataFrame, threshold: int = THRESHOLD, min_chars: int = MIN_CHARS, drop_empty: bool = True) -> DataFrame:
-    """``docs`` with the texts that are left, n_chars in step; with ``drop_empty`` documents that lost every line go."""
-    gone = dropped_lines(docs, threshold, min_chars).groupBy(F.col("doc_id").alias("_d")).agg(F.collect_set("line").alias("_gone"))
+def dedup_lines(docs: DataFrame, threshold: int = THRESHOLD, min_chars: int = MIN_CHARS, drop_empty: bool = True, short: bool = True) -> DataFrame:
+    """``docs`` with the texts that are left, n_chars in step; with ``drop_empty`` documents left without a word go."""
+    gone = dropped_lines(docs, threshold, min_chars, short).groupBy(F.col("doc_id").alias("_d")).agg(F.collect_set("line").alias("_gone"))
     rows = docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_d")), "left")
     lines = F.split("text", "\n")
     kept = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("_gone", i)), "\n")
     rows = rows.withColumn("text", F.when(F.col("_gone").isNotNull(), kept).otherwise(F.col("text")))
     if drop_empty:
-        rows = rows.where(F.col("_gone").isNull() | (F.trim("text") != ""))
+        rows = rows.where(F.col("_gone").isNull() | F.col("text").rlike(r"[^ \t\n\r\x0B\f]"))
     if "n_chars" in docs.columns:
         rows = rows.withColumn("n_chars", F.when(F.col("_gone").isNotNull(), F.char_length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
     return rows.select(docs.columns)
