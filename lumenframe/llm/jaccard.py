@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from lumenframe.llm.linking import components, find_links, id_bytes, id_words, map_arrow
 from lumenframe.llm.words import MIX, scramble, word_hashes
-from lumenframe.plans.scratch import cut
+from lumenframe.plans.scratch import cut, numbered
 
 WIDTH, PERCENT = 5, 80
 #: Counters of the table of list lengths (a power of two); a list is long from HOT, or MEANS times the mean, on.
@@ -317,8 +317,17 @@ def filter_bits(ids: DataFrame, bits: int = 22) -> np.ndarray:
 
 
 def keep_one(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is their component's smallest; of repeated rows one stays, and rows without
-    doc_id stay."""
-    places = similar_sets(docs, percent)
-    out = places.where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(out, "doc_id", "left_anti").select(docs.columns)
+    """Of each component of rows the one with the smallest doc_id, the first of several; rows without doc_id come last.
+    Of rows without words, those that repeat another's doc_id and text go."""
+    rows = numbered(docs)
+    ids = rows.select("_row", "doc_id")
+    places = similar_sets(rows.select(F.col("_row").alias("doc_id"), "text"), percent).where("n_shingles > 0")
+    places = cut(places.select(F.col("doc_id").alias("_row"), F.col("component_id").alias("comp")).join(ids, "_row"), "placed-rows")
+    place = F.struct(F.col("doc_id").isNull(), "doc_id", "_row")
+    stays = places.groupBy("comp").agg(F.min(place)["_row"].alias("stays"), F.count("*").alias("n")).where("n > 1")
+    out = places.join(stays, "comp").where("_row <> stays").select("_row")
+    empty = rows.where(F.col("doc_id").isNotNull() & ~F.coalesce("text", F.lit("")).rlike(r"[^ \t\n\r\x0B\f]"))
+    stays = empty.groupBy("doc_id", "text").agg(F.min("_row").alias("stays"), F.count("*").alias("n")).where("n > 1")
+    same = (F.col("e.doc_id") == F.col("s.doc_id")) & F.col("e.text").eqNullSafe(F.col("s.text"))
+    out = out.unionByName(empty.alias("e").join(stays.alias("s"), same).where("_row <> stays").select("_row"))
+    return rows.join(out, "_row", "left_anti").select(docs.columns)

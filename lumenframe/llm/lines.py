@@ -3,7 +3,7 @@
 Lines with a word (anything but ASCII white space) take part, whatever their length; lines without one always stay.
 Equal lines are one. Two lines of at least ``MIN_CHARS`` code points also link when their edit distance is at most
 ``THRESHOLD``: below that a segment is too short to tell lines apart. Of each component of links the line that comes
-first (by doc_id, then line number) stays, all others go. With ``short=False`` lines under ``MIN_CHARS`` all stay.
+first (by doc_id, then row, then line number) stays, all others go. With ``short=False`` lines under ``MIN_CHARS`` all stay.
 
 A line of n code points is cut into THRESHOLD + 1 segments, so whatever lies within the threshold keeps one of them
 whole. Keys are hashes of (length, segment's number, its text): a line writes those of its own segments, and those of
@@ -11,6 +11,9 @@ every substring that may stand for a segment of a line up to THRESHOLD shorter,
 on either side allow. Lines that share a key are compared by a banded bit-parallel edit distance, after a bound on
 character counts. ``linking`` says how hot keys are dealt with.
 
+Every row has a number of its own, given in a written table: lines are dropped from a row, never from all rows of a
+doc_id.
+
 Edge cases: null texts stay null and have no lines; an empty text has one empty line. Rows without doc_id come first.
 Repeated rows: the lines of all but one go. A document that loses lines and has no word left goes with
 ``drop_empty``. Extra columns pass through.
@@ -29,7 +32,7 @@ from pyspark.sql import functions as F
 from lumenframe.llm.jaccard import SEEN, filter_bits
 from lumenframe.llm.linking import components, find_links, id_bytes, map_arrow
 from lumenframe.llm.words import scramble
-from lumenframe.plans.scratch import cut
+from lumenframe.plans.scratch import cut, numbered
 
 THRESHOLD, MIN_CHARS = 2, 40
 BLANK = " \t\r\x0b\x0c"
@@ -185,25 +188,27 @@ def lines_of(docs: DataFrame, wanted: DataFrame, make, min_chars: int = MIN_CHAR
 
 
 def occurrences(docs: DataFrame, min_chars: int = MIN_CHARS, short: bool = True) -> DataFrame:
-    """doc_id, line (number from 0), id of every line that takes part."""
+    """doc_id, row, line (number from 0), id of every line that takes part."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[list[pa.Array]]:
         for b in batches:
-            docs_out, numbers, ids = [], [], []
-            for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            docs_out, rows, numbers, ids = [], [], [], []
+            for d, r, t in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 for k, line in enumerate((t or "").split("\n")):
                     if (short or len(line) >= min_chars) and line.strip(BLANK):
                         docs_out.append(d)
+                        rows.append(r)
                         numbers.append(k)
                         ids.append(line_id(line))
-            yield [pa.array(docs_out, pa.int64()), pa.array(numbers, pa.int32()), pa.array(ids, pa.binary())]
+            yield [pa.array(docs_out, pa.int64()), pa.array(rows, pa.int64()), pa.array(numbers, pa.int32()), pa.array(ids, pa.binary())]
 
-    return map_arrow(docs.select(F.col("doc_id").cast("long"), "text"), run, "doc_id long, line int, id binary")
+    return map_arrow(docs.select(F.col("doc_id").cast("long"), "_row", "text"), run, "doc_id long, row long, line int, id binary")
 
 
 def dropped_lines(docs: DataFrame, threshold: int = THRESHOLD, min_chars: int = MIN_CHARS, short: bool = True) -> DataFrame:
-    """doc_id, line, source_doc, source_line (the line of its component that stays) of every line that goes."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    """row, line, source_doc, source_line (the line of its component that stays) of every line of ``docs`` (doc_id,
+    text, _row) that goes."""
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "_row")
 
     def payloads(wanted: DataFrame) -> DataFrame:
         return lines_of(docs, wanted, lambda line: line.encode("utf-8", "surrogatepass"), min_chars)
@@ -217,28 +222,30 @@ def dropped_lines(docs: DataFrame, threshold: int = THRESHOLD, min_chars: int =
     found = find_links(key_rows(docs, threshold, min_chars), features, lambda x, y: near(x, y, threshold), payloads, test)
     comps = components(found)
     places = cut(occurrences(docs, min_chars, short), "lines")
-    first = places.groupBy("id").agg(F.min(F.struct("doc_id", "line")).alias("first"), F.count("*").alias("n"))
+    first = places.groupBy("id").agg(F.min(F.struct("doc_id", "row", "line")).alias("first"), F.count("*").alias("n"))
     first = first.join(comps, "id", "left")
     linked = first.where("comp is not null")
     lead = linked.groupBy("comp").agg(F.min("first").alias("lead"))
     stays = linked.join(lead, "comp").select("id", F.col("lead").alias("first")).unionByName(first.where("comp is null and n > 1").select("id", "first"))
-    gone = places.join(stays, "id").where(~(F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("line") == F.col("first.line"))))
-    return gone.select("doc_id", "line", F.col("first.doc_id").alias("source_doc"), F.col("first.line").alias("source_line"))
+    gone = places.join(stays, "id").where((F.col("row") != F.col("first.row")) | (F.col("line") != F.col("first.line")))
+    return gone.select("row", "line", F.col("first.doc_id").alias("source_doc"), F.col("first.line").alias("source_line"))
 
 
 def line_report(docs: DataFrame, threshold: int = THRESHOLD, min_chars: int = MIN_CHARS, short: bool = False) -> DataFrame:
     """Of every row: doc_id, n_lines, n_dropped, dropped (line numbers), source_docs (where their firsts stand)."""
-    gone = dropped_lines(docs, threshold, min_chars, short).groupBy("doc_id").agg(F.array_sort(F.collect_set("line")).alias("dropped"), F.array_sort(F.collect_set("source_doc")).alias("source_docs"))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n"))).alias("n_lines"))
-    out = rows.join(gone.withColumnRenamed("doc_id", "_d"), F.col("doc_id").eqNullSafe(F.col("_d")), "left")
+    docs = numbered(docs.select("doc_id", "text"))
+    gone = dropped_lines(docs, threshold, min_chars, short).groupBy(F.col("row").alias("_row")).agg(F.array_sort(F.collect_set("line")).alias("dropped"), F.array_sort(F.collect_set("source_doc")).alias("source_docs"))
+    rows = docs.select("_row", F.col("doc_id").cast("long").alias("doc_id"), F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n"))).alias("n_lines"))
+    out = rows.join(gone, "_row", "left")
     none = F.array().cast("array<int>"), F.array().cast("array<bigint>")
     return out.select("doc_id", "n_lines", F.coalesce(F.size("dropped"), F.lit(0)).alias("n_dropped"), F.coalesce("dropped", none[0]).alias("dropped"), F.coalesce("source_docs", none[1]).alias("source_docs"))
 
 
 def dedup_lines(docs: DataFrame, threshold: int = THRESHOLD, min_chars: int = MIN_CHARS, drop_empty: bool = True, short: bool = True) -> DataFrame:
     """``docs`` with the texts that are left, n_chars in step; with ``drop_empty`` documents left without a word go."""
-    gone = dropped_lines(docs, threshold, min_chars, short).groupBy(F.col("doc_id").alias("_d")).agg(F.collect_set("line").alias("_gone"))
-    rows = docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_d")), "left")
+    rows = numbered(docs)
+    gone = dropped_lines(rows, threshold, min_chars, short).groupBy(F.col("row").alias("_row")).agg(F.collect_set("line").alias("_gone"))
+    rows = rows.join(gone, "_row", "left")
     lines = F.split("text", "\n")
     kept = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("_gone", i)), "\n")
     rows = rows.withColumn("text", F.when(F.col("_gone").isNotNull(), kept).otherwise(F.col("text")))

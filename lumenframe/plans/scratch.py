@@ -10,6 +10,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 SETTING = "spark.checkpoint.dir"
 
@@ -32,3 +33,8 @@ def cut(df: DataFrame, tag: str) -> DataFrame:
     path = scratch_path(df.sparkSession, tag)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def numbered(df: DataFrame) -> DataFrame:
+    """``df`` with a number of its own for every row (``_row``), fixed as the table is written."""
+    return cut(df.withColumn("_row", F.monotonically_increasing_id()), "rows")

@@ -1,6 +1,6 @@
 import random
 
-from lumenframe.llm import lines
+from lumenframe.llm import jaccard, lines
 
 DOCS = "doc_id long, text string, n_chars long"
 LONG = "a line that is long enough to take part in the edit join"
@@ -32,3 +32,21 @@ def test_exact_dedup_at_every_length_against_brute_force(spark):
                     expected[i].append(k)
                 seen.add(line)
     assert {r["doc_id"]: r["dropped"] for r in lines.line_report(docs(spark, enumerate(texts)), short=True).collect()} == expected
+
+
+def test_lines_go_from_their_row_only(spark):
+    a, b, c, d = (f"{w} {LONG} {w * 5}" for w in ("one", "unlike", "third", "fourth"))
+    rows = [(None, f"{a}\n{b}"), (None, f"{c}\n{b}"), (None, f"{a}\n{b}"), (7, f"{d}\nx"), (7, f"{a}\ny"), (7, f"{d}\nx"), (8, None), (8, None)]
+    got = [(r["doc_id"], r["text"]) for r in lines.dedup_lines(docs(spark, rows).coalesce(1)).collect()]
+    assert sorted(got, key=str) == sorted([(None, f"{a}\n{b}"), (None, c), (7, f"{d}\nx"), (7, "y"), (8, None), (8, None)], key=str)
+    report = [(r["doc_id"], r["n_lines"], r["dropped"], r["source_docs"]) for r in lines.line_report(docs(spark, rows).coalesce(1), short=True).collect()]
+    expected = [(None, 2, [], []), (None, 2, [1], []), (None, 2, [0, 1], []), (7, 2, [], []), (7, 2, [0], []), (7, 2, [0, 1], [7]), (8, 0, [], []), (8, 0, [], [])]
+    assert sorted(report, key=str) == sorted(expected, key=str)
+
+
+def test_keep_one_judges_rows(spark):
+    one, two = (" ".join(f"{w}{i}" for i in range(30)) for w in "ab")
+    rows = [(5, one), (5, two), (3, one), (4, "alone"), (4, "alone"), (None, one), (None, "by itself"), (None, "By itself"), (6, None), (6, None), (6, " "), (None, ""), (None, "")]
+    got = [(r["doc_id"], r["text"]) for r in jaccard.keep_one(docs(spark, rows).coalesce(1)).collect()]
+    expected = [(5, two), (3, one), (4, "alone"), (None, "by itself"), (6, None), (6, " "), (None, ""), (None, "")]
+    assert sorted(got, key=str) == sorted(expected, key=str)
