@@ -32,7 +32,7 @@ PLANS = {
     "J8_families": "SELECT family, count(*) AS n, round(sum(w), 6) AS total FROM fisher JOIN feat USING (fidx) GROUP BY family",
     "J9_legacy_names": "SELECT f.fidx, coalesce(o.new, f.name) AS name FROM feat f LEFT JOIN (VALUES ('Embedding () [0]', 'Zero'), ('Embedding () [7]', 'Seven')) AS o(old, new) ON f.name = o.old",
     "J10_tile_pairs": "SELECT t, rl, round(ln(avg(pow(d, -5))), 5) AS log_sim FROM dist WHERE ts = rs GROUP BY t, rl",
-    "J11_similarity_map": "SELECT t, r, round(1 - (d - lo) / (hi - lo), 5) AS similarity FROM (SELECT t, r, d, min(d) OVER () AS lo, max(d) OVER () AS hi FROM dist WHERE t < 30 AND r < 30) q",
+    "J11_similarity_map": "SELECT t, r, round(1 - (d - lo) / (hi - lo), 5) AS similarity FROM (SELECT t, r, d, min(d) OVER () AS lo, max(d) OVER () AS hi FROM dist) q",
     # aggregations
     "A1_moments2": "SELECT fidx, count(*) AS n, round(min(v), 6) AS mn, round(max(v), 6) AS mx, round(avg(v), 6) AS mean, round(CASE WHEN count(*) <= 2 THEN 0 ELSE stddev_samp(v) END, 6) AS sd FROM long GROUP BY fidx",
     "A2_moments4": "SELECT fidx, round(CASE WHEN n <= 3 THEN 0 ELSE sqrt(n) * m3 / pow(m2, 1.5) END, 6) AS skewness, round(CASE WHEN n <= 4 THEN 0 ELSE n * m4 / (m2 * m2) END, 6) AS kurtosis FROM (SELECT fidx, count(*) AS n, sum(pow(v - mean, 2)) AS m2, sum(pow(v - mean, 3)) AS m3, sum(pow(v - mean, 4)) AS m4 FROM long JOIN mm USING (fidx) GROUP BY fidx) q",
