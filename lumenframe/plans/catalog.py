@@ -28,7 +28,7 @@ PLANS = {
     "J4_interpolate": "SELECT t, round(sum(rv / d) / sum(1 / d), 5) AS value FROM (SELECT t, rv, d, row_number() OVER (PARTITION BY t ORDER BY d, r) AS k FROM dist) q WHERE k <= 5 GROUP BY t",
     "J5_label_map": "SELECT s.sample_id, s.label, coalesce(k.idx, 0) AS train_class FROM sample s LEFT JOIN (SELECT label, CAST(row_number() OVER (ORDER BY label) AS INT) AS idx FROM (SELECT DISTINCT label FROM sample WHERE label <> 'class_7') c) k ON s.label = k.label",
     "J6_partial_load": "SELECT sample_id, fidx, round(coalesce(c.v, l.v), 6) AS v, CASE WHEN c.v IS NULL THEN 'loaded' ELSE 'computed' END AS origin FROM (SELECT * FROM long WHERE fidx < 4) l FULL OUTER JOIN (SELECT sample_id, fidx, v * 2 AS v FROM long WHERE fidx >= 2 AND fidx < 6) c USING (sample_id, fidx)",
-    "J7_channels": "SELECT grp, CAST(seq * 64 + fidx AS INT) AS wide_idx, concat('Embedding (', CAST(seq AS STRING), ') [', CAST(fidx AS STRING), ']') AS name, round(v, 6) AS v FROM long WHERE fidx < 3",
+    "J7_channels": "SELECT grp, CAST(seq * 64 + fidx AS INT) AS wide_idx, concat('Embedding (', CAST(seq AS STRING), ') [', CAST(fidx AS STRING), ']') AS name, round(v, 6) AS v FROM long",
     "J8_families": "SELECT family, count(*) AS n, round(sum(w), 6) AS total FROM fisher JOIN feat USING (fidx) GROUP BY family",
     "J9_legacy_names": "SELECT f.fidx, coalesce(o.new, f.name) AS name FROM feat f LEFT JOIN (VALUES ('Embedding () [0]', 'Zero'), ('Embedding () [7]', 'Seven')) AS o(old, new) ON f.name = o.old",
     "J10_tile_pairs": "SELECT t, rl, round(ln(avg(pow(d, -5))), 5) AS log_sim FROM dist WHERE ts = rs GROUP BY t, rl",
@@ -69,7 +69,7 @@ PLANS = {
     "W1_sequence": "SELECT sample_id, grp, CAST(row_number() OVER (PARTITION BY grp ORDER BY sample_id) - 1 AS INT) AS seq_id FROM sample",
     "W2_group_ids": "SELECT sample_id, CAST(dense_rank() OVER (ORDER BY grp) - 1 AS INT) AS group_id FROM sample",
     "W3_rank_order": "SELECT t, tl, CAST(row_number() OVER (ORDER BY round(pv, 6), tv, t) AS INT) AS overall, CAST(row_number() OVER (PARTITION BY tl ORDER BY round(pv, 6), t) AS INT) AS in_class FROM pred",
-    "W4_average_ranks": "SELECT fidx, sample_id, rank() OVER (PARTITION BY fidx ORDER BY v) + (count(*) OVER (PARTITION BY fidx, v) - 1) / 2e0 AS avg_rank FROM long WHERE fidx < 8",
+    "W4_average_ranks": "SELECT fidx, sample_id, rank() OVER (PARTITION BY fidx ORDER BY v) + (count(*) OVER (PARTITION BY fidx, v) - 1) / 2e0 AS avg_rank FROM long",
     "W5_balanced_split": "SELECT split, sample_id, side FROM part WHERE side IS NOT NULL",
     "W6_rank_match": "SELECT t, tl, max(CASE WHEN tl = rl AND k <= 3 THEN 1 ELSE 0 END) AS within_3 FROM (SELECT t, tl, rl, row_number() OVER (PARTITION BY t ORDER BY p DESC, rl) AS k FROM prob) q GROUP BY t, tl",
     "W7_closest_tile": "SELECT tg AS grp, max_by(t, odds) AS tile FROM (SELECT tg, t, max(p) / (1 - max(p)) AS odds FROM prob GROUP BY tg, t) q GROUP BY tg",
@@ -85,7 +85,7 @@ PLANS = {
     "K4_top_50": "SELECT fidx, round(w, 6) AS w FROM ranked WHERE r <= 50",
     "U1_union": "SELECT sample_id, label, origin, CAST(row_number() OVER (ORDER BY label, sample_id, origin) - 1 AS INT) AS group_id FROM (SELECT sample_id, label, 'a' AS origin FROM sample UNION ALL SELECT sample_id, label, 'b' AS origin FROM sample WHERE seq = 0) q",
     "U2_append": "SELECT sample_id, label FROM sample UNION ALL SELECT -1 AS sample_id, 'new' AS label",
-    "U3_columns": "SELECT sample_id, fidx, round(v, 6) AS v FROM long WHERE fidx < 2 UNION ALL SELECT sample_id, fidx + 64 AS fidx, round(v * v, 6) AS v FROM long WHERE fidx < 2",
+    "U3_columns": "SELECT sample_id, fidx, round(v, 6) AS v FROM long UNION ALL SELECT sample_id, fidx + 64 AS fidx, round(v * v, 6) AS v FROM long",
     "U4_difference": "SELECT name FROM feat WHERE fidx < 20 EXCEPT SELECT name FROM feat WHERE fidx % 2 = 0",
     "U5_scramble": "SELECT a.sample_id, b.label FROM (SELECT sample_id, row_number() OVER (ORDER BY sample_id) AS k FROM sample) a JOIN (SELECT label, row_number() OVER (ORDER BY md5(concat(CAST(sample_id AS STRING), '-scramble'))) AS k FROM sample) b ON a.k = b.k",
     "R1_split_sizes": "SELECT split, label, side, count(*) AS n FROM part WHERE side IS NOT NULL GROUP BY split, label, side",

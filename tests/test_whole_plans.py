@@ -25,3 +25,14 @@ def test_similarity_map_covers_all_samples(spark):
     lo, hi = d[met].min(), d[met].max()
     assert {(r["t"], r["r"]) for r in got} == set(zip(*np.nonzero(met), strict=True)) and len(got) == 45 * 44 - 2
     assert all(abs(r["similarity"] - (1 - (d[r["t"], r["r"]] - lo) / (hi - lo))) < 2e-5 for r in got)
+
+
+def test_ranks_channels_and_columns_cover_all_features(spark):
+    x = np.random.default_rng(31).integers(0, 9, size=(20, 64)).astype(float)
+    long = long_form(samples(spark, x, "ab" * 10))
+    ranks = {(r["sample_id"], r["fidx"]): r["avg_rank"] for r in run_plan(PLANS["W4_average_ranks"], long=long).collect()}
+    assert ranks == {(i, k): (x[:, k] < x[i, k]).sum() + ((x[:, k] == x[i, k]).sum() + 1) / 2 for i in range(20) for k in range(64)}
+    wide = {(r["grp"], r["wide_idx"]): (r["name"], r["v"]) for r in run_plan(PLANS["J7_channels"], long=long).collect()}
+    assert wide == {(i // 4, i % 4 * 64 + k): (f"Embedding ({i % 4}) [{k}]", x[i, k]) for i in range(20) for k in range(64)}
+    both = {(r["sample_id"], r["fidx"]): r["v"] for r in run_plan(PLANS["U3_columns"], long=long).collect()}
+    assert both == {(i, k + 64 * j): x[i, k] ** (j + 1) for i in range(20) for k in range(64) for j in range(2)}
