@@ -5,7 +5,7 @@ Score: how much a document's licences ask of a user, 0 (nothing found) to 1 (all
 the milder side, ``and`` the stricter one, ``with`` an exception halves the way down to permissive.
 
 Edge cases: null and empty texts have no words and no labels, score 0. Repeated rows are judged one by one. A tag
-without a readable identifier gives no label. Extra columns pass through; a clashing one is replaced.
+without a readable identifier gives no label; an expression ends with its line or at the next tag. Extra columns pass through; a clashing one is replaced.
 """
 
 from __future__ import annotations
@@ -36,7 +36,8 @@ NOTICES = {
     "dedicated to the public domain": "public-domain",
 }
 TAG = "spdx license identifier"
-TAG_RAW = re.compile(rb"spdx[^0-9a-z\x80-\xff]+license[^0-9a-z\x80-\xff]+identifier[ \t]*:?[ \t]*([^\r\n]*)")
+TAG_RAW = re.compile(rb"spdx[^0-9a-z\x80-\xff]+license[^0-9a-z\x80-\xff]+identifier[ \t]*:?[ \t]*")
+LINE_END = re.compile(rb"[\r\n]")
 
 # Families of identifiers by prefix, longest first, and what each asks of a user.
 FAMILIES = {
@@ -141,8 +142,12 @@ def scan(text: str | None) -> tuple:
             base.append(place)
             base_labels.add(label)
     if tagged:
-        for m in TAG_RAW.finditer(raw.lower()):
-            named, asks = evaluate(to_postfix(m[1].decode("utf-8", "replace")))
+        low = raw.lower()
+        tags = list(TAG_RAW.finditer(low))
+        # an expression ends with its line, or where the next tag begins
+        for m, stop in zip(tags, [t.start() for t in tags[1:]] + [len(low)], strict=True):
+            end = LINE_END.search(low, m.end(), stop)
+            named, asks = evaluate(to_postfix(low[m.end() : end.start() if end else stop].decode("utf-8", "replace")))
             labels |= named
             score = max(score, asks)
     return len(words), len(base), min(base, default=None), max(base, default=None), ",".join(sorted(base_labels)), ",".join(sorted(labels)), score
