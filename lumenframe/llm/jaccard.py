@@ -30,11 +30,13 @@ from math import comb
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenframe.llm.linking import components, find_links, id_bytes, id_words, map_arrow
-from lumenframe.llm.words import MIX, scramble, word_hashes
+from lumenframe.llm.batches import fresh
+from lumenframe.llm.linking import components, filter_bits, find_links, first_bytes, id_bytes, id_firsts, map_arrow, may_hold, merge_chunks
+from lumenframe.llm.words import MIX, scramble, slices
 from lumenframe.plans.scratch import cut, numbered
 
 WIDTH, PERCENT = 5, 80
@@ -44,27 +46,32 @@ CHUNK = 1 << 16
 #: Largest boundary, and bytes of the parity sketch.
 MOST_SMALL, SKETCH = 12, 128
 #: Ids that a task remembers to write copies once.
-SEEN = 1_000_000
-UPPER_TO_LOWER = bytes(c + 32 if 0x41 <= c <= 0x5A else c for c in range(256))
-
-
-def shingles(text: str | None) -> np.ndarray:
-    """Sorted 64-bit hashes of the set."""
-    words = (text or "").encode("utf-8", "surrogatepass").translate(UPPER_TO_LOWER).split()
-    n = len(words)
-    if not n:
-        return np.empty(0, np.uint64)
-    if n < WIDTH:
-        return np.array([xxhash.xxh3_64_intdigest(b" ".join(words), seed=n)], np.uint64)
-    h = word_hashes(words)
-    s = h[: n - WIDTH + 1].copy()
-    for k in range(1, WIDTH):
-        s *= MIX
-        s ^= s >> np.uint64(31)
-        s += h[k : n - WIDTH + 1 + k]
-    s = scramble(s)
-    s.sort()
-    return s[np.concatenate(([True], s[1:] != s[:-1]))]
+SEEN = 100_000
+
+
+def shingle_sets(column: pa.Array) -> Iterator[np.ndarray]:
+    """Of every text the sorted 64-bit hashes of its set."""
+    for s in slices(column, lower=True):
+        h = s.words
+        n = len(h) - WIDTH + 1
+        if n > 0:
+            w = h[:n].copy()
+            for k in range(1, WIDTH):
+                w *= MIX
+                w ^= w >> np.uint64(31)
+                w += h[k : n + k]
+            w = scramble(w)
+        for x, y in zip(s.at[:-1].tolist(), s.at[1:].tolist(), strict=True):
+            if y - x >= WIDTH:
+                one = np.sort(w[x : y - WIDTH + 1])
+                yield one[np.concatenate(([True], one[1:] != one[:-1]))]
+            elif y > x:
+                one = np.array([y - x], np.uint64)
+                for k in range(x, y):
+                    one = scramble(one) + h[k]
+                yield scramble(one)
+            else:
+                yield np.empty(0, np.uint64)
 
 
 def set_id(s: np.ndarray) -> bytes:
@@ -156,8 +163,7 @@ def scan_sets(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, np.nd
         counts, seen = np.zeros(1 << TABLE_BITS, np.uint32), set()
         for b in batches:
             ids, sizes, features, long_ones = [], [], [], []
-            for t in b.column(1).to_pylist():
-                s = shingles(t)
+            for s in shingle_sets(b.column(1)):
                 i = set_id(s) if len(s) else None
                 if i is not None and i not in seen:
                     if len(seen) >= SEEN:
@@ -173,17 +179,13 @@ def scan_sets(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, np.nd
         for c in range(0, len(counts), CHUNK):
             part = counts[c : c + CHUNK]
             if part.any():
-                yield [pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([zlib.compress(part.astype("<u4").tobytes(), 1)], pa.binary()), pa.nulls(1, pa.binary()), pa.array([c // CHUNK], pa.int32())]
+                yield [pa.nulls(1, pa.int64()), pa.array([TaskContext.get().partitionId()]), pa.nulls(1, pa.binary()), pa.array([zlib.compress(part.astype("<u8").tobytes(), 1)], pa.binary()), pa.nulls(1, pa.binary()), pa.array([c // CHUNK], pa.int32())]
 
     both = cut(map_arrow(docs.select("doc_id", "text"), run, "doc_id long, n long, id binary, f binary, g binary, chunk int"), "sets")
 
-    def add(t: pa.Table) -> pa.Table:
-        total = sum(np.frombuffer(zlib.decompress(x), "<u4").astype(np.uint64) for x in t.column("f").to_pylist())
-        return pa.table({"chunk": t.column("chunk").slice(0, 1), "f": pa.array([zlib.compress(total.tobytes(), 1)], pa.binary())})
-
     table = np.zeros((1 << TABLE_BITS) // CHUNK * CHUNK, np.uint64).reshape(-1, CHUNK)
-    for r in both.where("chunk is not null").select("chunk", "f").groupBy("chunk").applyInArrow(add, "chunk int, f binary").collect():  # a table of fixed size
-        table[r["chunk"]] = np.frombuffer(zlib.decompress(bytes(r["f"])), np.uint64)
+    for chunk, x in merge_chunks(both.where("chunk is not null").select("chunk", F.col("n").cast("int").alias("part"), "f"), "<u8", np.add).items():
+        table[chunk] = x
     return both.where("chunk is null").drop("chunk"), table.ravel()
 
 
@@ -196,8 +198,7 @@ def key_rows(docs: DataFrame, hot: np.ndarray, small: int, percent: int = PERCEN
         late, seen = np.unpackbits(shared.value).view(bool), set()
         for b in batches:
             keys, ids, counts = [], [], []
-            for t in b.column(0).to_pylist():
-                s = shingles(t)
+            for s in shingle_sets(b.column(0)):
                 n = len(s)
                 if not n:
                     continue
@@ -239,19 +240,15 @@ def similar_sets(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     known = cut(known, "known-sets")
 
     def payloads(wanted: DataFrame) -> DataFrame:
-        reps = cut(known.join(wanted, "id").select("id", "doc_id"), "wanted")
-        places = filter_bits(reps.select("doc_id"))
-        shared = docs.sparkSession.sparkContext.broadcast(places)
+        reps = cut(known.join(wanted, "id").select("doc_id", "id"), "wanted")
+        shared = docs.sparkSession.sparkContext.broadcast(filter_bits(reps.select("doc_id")))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[list[pa.Array]]:
-            take = np.unpackbits(shared.value).view(bool)
             seen: set[bytes] = set()
             for b in batches:
-                docs_in = b.column(0).fill_null(0).to_numpy()
-                mask = take[scramble(docs_in.view(np.uint64)) & np.uint64(len(take) - 1)] | b.column(0).is_null().to_numpy(zero_copy_only=False)
+                mask = may_hold(shared.value, b.column(0).fill_null(0).to_numpy().view(np.uint64)) | b.column(0).is_null().to_numpy(zero_copy_only=False)
                 ids, sets_out = [], []
-                for t in b.column(1).filter(pa.array(mask)).to_pylist():
-                    s = shingles(t)
+                for s in shingle_sets(b.column(1).filter(pa.array(mask))):
                     if len(s) and (i := set_id(s)) not in seen:
                         if len(seen) >= SEEN:
                             seen.clear()
@@ -267,16 +264,13 @@ def similar_sets(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
         return known.join(wanted, "id").select("id", "f")
 
     def long_features(wanted: DataFrame) -> DataFrame:
-        # a filter of fixed size spares most sketches the shuffle; the join decides
+        # a filter of bounded size spares most sketches the shuffle; the join decides
         wanted = cut(wanted, "wanted-sketches")
-        first = F.conv(F.hex(F.substring("id", 1, 7)), 16, 10).cast("long")  # 56 bits of an id
-        shared = docs.sparkSession.sparkContext.broadcast(filter_bits(wanted.select(first), 24))
+        shared = docs.sparkSession.sparkContext.broadcast(filter_bits(wanted.select(first_bytes())))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[list[pa.Array]]:
-            take = np.unpackbits(shared.value).view(bool)
             for b in batches:
-                firsts = id_words(b.column(0))[:, 0].byteswap() >> np.uint64(8)
-                mask = pa.array(take[scramble(firsts) & np.uint64(len(take) - 1)])
+                mask = pa.array(may_hold(shared.value, id_firsts(b.column(0))))
                 yield [b.column(0).filter(mask), b.column(1).filter(mask)]
 
         return map_arrow(known.select("id", F.coalesce("g", "f").alias("p")), run, "id binary, p binary").join(wanted, "id")
@@ -296,38 +290,19 @@ def similar_sets(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     return sets.select("doc_id", "n", "id").join(named, "id", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
-def filter_bits(ids: DataFrame, bits: int = 22) -> np.ndarray:
-    """A packed filter of 2 ** bits bits that takes every id given (column 1, long); its size is fixed."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[list[pa.Array]]:
-        places = np.zeros(1 << bits, bool)
-        for b in batches:
-            places[scramble(b.column(0).drop_null().to_numpy().view(np.uint64)) & np.uint64(len(places) - 1)] = True
-        if places.any():
-            yield [pa.array([0], pa.int32()), pa.array([zlib.compress(np.packbits(places).tobytes(), 1)], pa.binary())]
-
-    def either(t: pa.Table) -> pa.Table:
-        out = np.zeros(1 << (bits - 3), np.uint8)
-        for x in t.column("f").to_pylist():
-            out |= np.frombuffer(zlib.decompress(x), np.uint8)
-        return pa.table({"f": pa.array([out.tobytes()], pa.binary())})
-
-    found = map_arrow(ids, run, "k int, f binary").groupBy("k").applyInArrow(either, "f binary").collect()  # one row of fixed size
-    return np.frombuffer(bytes(found[0]["f"]), np.uint8) if found else np.zeros(1 << (bits - 3), np.uint8)
-
-
 def keep_one(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Of each component of rows the one with the smallest doc_id, the first of several; rows without doc_id come last.
     Of rows without words, those that repeat another's doc_id and text go."""
-    rows = numbered(docs)
-    ids = rows.select("_row", "doc_id")
-    places = similar_sets(rows.select(F.col("_row").alias("doc_id"), "text"), percent).where("n_shingles > 0")
-    places = cut(places.select(F.col("doc_id").alias("_row"), F.col("component_id").alias("comp")).join(ids, "_row"), "placed-rows")
-    place = F.struct(F.col("doc_id").isNull(), "doc_id", "_row")
-    stays = places.groupBy("comp").agg(F.min(place)["_row"].alias("stays"), F.count("*").alias("n")).where("n > 1")
-    out = places.join(stays, "comp").where("_row <> stays").select("_row")
-    empty = rows.where(F.col("doc_id").isNotNull() & ~F.coalesce("text", F.lit("")).rlike(r"[^ \t\n\r\x0B\f]"))
-    stays = empty.groupBy("doc_id", "text").agg(F.min("_row").alias("stays"), F.count("*").alias("n")).where("n > 1")
-    same = (F.col("e.doc_id") == F.col("s.doc_id")) & F.col("e.text").eqNullSafe(F.col("s.text"))
-    out = out.unionByName(empty.alias("e").join(stays.alias("s"), same).where("_row <> stays").select("_row"))
-    return rows.join(out, "_row", "left_anti").select(docs.columns)
+    (row,) = fresh(docs, "_row")
+    rows = numbered(docs, row)
+    ids = rows.select(F.col(row).alias("row"), F.col("doc_id").alias("doc"))
+    places = similar_sets(rows.select(F.col(row).alias("doc_id"), "text"), percent).where("n_shingles > 0")
+    places = cut(places.select(F.col("doc_id").alias("row"), F.col("component_id").alias("comp")).join(ids, "row"), "placed-rows")
+    place = F.struct(F.col("doc").isNull(), "doc", "row")
+    stays = places.groupBy("comp").agg(F.min(place)["row"].alias("stays"), F.count("*").alias("n")).where("n > 1")
+    out = places.join(stays, "comp").where("row <> stays").select("row")
+    empty = rows.where(F.col("doc_id").isNotNull() & ~F.coalesce("text", F.lit("")).rlike(r"[^ \t\n\r\x0B\f]")).select(F.col(row).alias("row"), F.col("doc_id").alias("doc"), "text")
+    stays = empty.groupBy("doc", "text").agg(F.min("row").alias("stays"), F.count("*").alias("n")).where("n > 1")
+    same = (F.col("e.doc") == F.col("s.doc")) & F.col("e.text").eqNullSafe(F.col("s.text"))
+    out = out.unionByName(empty.alias("e").join(stays.alias("s"), same).where("row <> stays").select("row"))
+    return rows.join(out.withColumnRenamed("row", row), row, "left_anti").select(docs.columns)

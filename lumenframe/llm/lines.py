@@ -29,9 +29,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenframe.llm.jaccard import SEEN, filter_bits
-from lumenframe.llm.linking import components, find_links, id_bytes, map_arrow
-from lumenframe.llm.words import scramble
+from lumenframe.llm.batches import fresh
+from lumenframe.llm.jaccard import SEEN
+from lumenframe.llm.linking import components, filter_bits, find_links, first_bytes, id_bytes, map_arrow, may_hold
 from lumenframe.plans.scratch import cut, numbered
 
 THRESHOLD, MIN_CHARS = 2, 40
@@ -170,17 +170,16 @@ def key_rows(docs: DataFrame, threshold: int = THRESHOLD, min_chars: int = MIN_C
 def lines_of(docs: DataFrame, wanted: DataFrame, make, min_chars: int = MIN_CHARS) -> DataFrame:
     """(id, p): what ``make`` makes of each wanted line."""
     wanted = cut(wanted, "wanted-lines")
-    first = F.conv(F.hex(F.substring("id", 1, 7)), 16, 10).cast("long")  # 56 bits of an id
-    shared = docs.sparkSession.sparkContext.broadcast(filter_bits(wanted.select(first), 24))
+    shared = docs.sparkSession.sparkContext.broadcast(filter_bits(wanted.select(first_bytes())))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[list[pa.Array]]:
-        take, seen = np.unpackbits(shared.value).view(bool), set()
+        seen: set[bytes] = set()
         for b in batches:
             found = list(new_lines(b.column(0).to_pylist(), seen, min_chars))
             if not found:
                 continue
             firsts = np.array([int.from_bytes(i[:7], "big") for i, _ in found], np.uint64)
-            held = [found[k] for k in np.flatnonzero(take[scramble(firsts) & np.uint64(len(take) - 1)])]
+            held = [found[k] for k in np.flatnonzero(may_hold(shared.value, firsts))]
             yield [pa.array([i for i, _ in held], pa.binary()), pa.array([make(line) for _, line in held], pa.binary())]
 
     rows = map_arrow(docs.select("text"), run, "id binary, p binary")
@@ -243,14 +242,16 @@ def line_report(docs: DataFrame, threshold: int = THRESHOLD, min_chars: int = MI
 
 def dedup_lines(docs: DataFrame, threshold: int = THRESHOLD, min_chars: int = MIN_CHARS, drop_empty: bool = True, short: bool = True) -> DataFrame:
     """``docs`` with the texts that are left, n_chars in step; with ``drop_empty`` documents left without a word go."""
-    rows = numbered(docs)
-    gone = dropped_lines(rows, threshold, min_chars, short).groupBy(F.col("row").alias("_row")).agg(F.collect_set("line").alias("_gone"))
-    rows = rows.join(gone, "_row", "left")
+    row, gone = fresh(docs, "_row", "_gone")
+    rows = numbered(docs, row)
+    dropped = dropped_lines(rows.select("doc_id", "text", F.col(row).alias("_row")), threshold, min_chars, short)
+    dropped = dropped.groupBy(F.col("row").alias(row)).agg(F.collect_set("line").alias(gone))
+    rows = rows.join(dropped, row, "left")
     lines = F.split("text", "\n")
-    kept = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("_gone", i)), "\n")
-    rows = rows.withColumn("text", F.when(F.col("_gone").isNotNull(), kept).otherwise(F.col("text")))
+    kept = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains(gone, i)), "\n")
+    rows = rows.withColumn("text", F.when(F.col(gone).isNotNull(), kept).otherwise(F.col("text")))
     if drop_empty:
-        rows = rows.where(F.col("_gone").isNull() | F.col("text").rlike(r"[^ \t\n\r\x0B\f]"))
+        rows = rows.where(F.col(gone).isNull() | F.col("text").rlike(r"[^ \t\n\r\x0B\f]"))
     if "n_chars" in docs.columns:
-        rows = rows.withColumn("n_chars", F.when(F.col("_gone").isNotNull(), F.char_length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+        rows = rows.withColumn("n_chars", F.when(F.col(gone).isNotNull(), F.char_length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
     return rows.select(docs.columns)

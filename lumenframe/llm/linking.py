@@ -11,24 +11,30 @@ Ids are 16 bytes. Rows of equal (key, id) count once. Keys are read in order as
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable, Iterator
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from lumenframe.plans.scratch import cut
+from lumenframe.llm.batches import whole
+from lumenframe.llm.words import scramble
+from lumenframe.plans.scratch import cut, discard
 
 #: Ids in a block of round 2.
 BLOCK = 512
 #: Of a key with so many ids or fewer, round 1 tests every pair: each id against the smallest and the one before.
 FEW = 3
 LINK = "a binary, b binary"
+#: Parts that meet at once on the way to one; bits of the largest filter.
+FAN, FILTER_BITS = 64, 27
 
 
 def id_words(column: pa.Array) -> np.ndarray:
@@ -52,12 +58,13 @@ def map_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[
         for columns in run(b for b in batches if b.num_rows):
             yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, out, strict=True)], schema=out)
 
-    return df.mapInArrow(go, kind)
+    return df.mapInArrow(whole(go), kind)
 
 
 def shared_rows(rows: DataFrame) -> DataFrame:
     """Of rows (key long, id binary): key, id, leader (the key's smallest id), before (the id before; null for the
-    leader) and many (more than ``FEW`` ids have the key), for keys that several ids have."""
+    leader), many (more than ``FEW`` ids have the key) and block (its place among the key's ids by ``BLOCK``), for keys
+    that several ids have."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[list[pa.Array]]:
         # The last FEW rows wait for their successors. Of the row before them: key, id, leader, rank in its key.
@@ -85,13 +92,82 @@ def shared_rows(rows: DataFrame) -> DataFrame:
             many = (rank >= FEW) | (at + FEW - rank < len(key)) & (key[ahead] == key)
             shared = np.flatnonzero((follows | goes_on)[:ready])
             prior_ids = pc.if_else(pa.array(follows[shared]), id_bytes(before[shared]), pa.scalar(None, pa.binary()))
-            yield [pa.array(key[shared]), id_bytes(ids[shared]), id_bytes(lead[shared]), prior_ids, pa.array(many[shared])]
+            yield [pa.array(key[shared]), id_bytes(ids[shared]), id_bytes(lead[shared]), prior_ids, pa.array(many[shared]), pa.array((rank[shared] // BLOCK).astype(np.int32))]
             last = ready - 1
             prior = int(key[last]), ids[last].copy(), lead[last].copy(), int(rank[last])
             key, ids = key[ready:], ids[ready:]
 
     dealt = rows.repartition("key").sortWithinPartitions("key", "id")
-    return map_arrow(dealt, run, "key long, id binary, leader binary, before binary, many boolean")
+    return map_arrow(dealt, run, "key long, id binary, leader binary, before binary, many boolean, block int")
+
+
+def merge_chunks(rows: DataFrame, kind: str, add: np.ufunc) -> dict[int, np.ndarray]:
+    """Of a stored table (chunk int, part int, f binary: a compressed array of ``kind``), what ``add`` makes of all
+    arrays of each chunk. Parts meet in a tree, ``FAN`` at a time and as a stream, so no task holds more than an array or two
+    and none reads every part; what comes back is of a fixed size."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[list[pa.Array]]:
+        now, total = None, np.empty(0)
+
+        def out() -> list[pa.Array]:
+            return [pa.array([now[0]]), pa.array([now[1]]), pa.array([zlib.compress(total.tobytes(), 1)], pa.binary())]
+
+        for b in batches:
+            for chunk, part, f in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                x = np.frombuffer(zlib.decompress(f), kind)
+                if (chunk, part) == now:
+                    add(total, x, out=total)
+                else:
+                    if now:
+                        yield out()
+                    now, total = (chunk, part), x.copy()
+        if now:
+            yield out()
+
+    parts = (rows.agg(F.max("part")).first()[0] or 0) + 1
+    while True:
+        parts = -(-parts // FAN)
+        rows = rows.select("chunk", F.floor(F.col("part") / FAN).cast("int").alias("part"), "f").repartition("chunk", "part").sortWithinPartitions("chunk", "part")
+        rows = map_arrow(rows, run, "chunk int, part int, f binary")
+        if parts == 1:
+            return {r["chunk"]: np.frombuffer(zlib.decompress(bytes(r["f"])), kind) for r in rows.collect()}
+
+
+def filter_bits(ids: DataFrame) -> np.ndarray:
+    """A packed filter that takes every id of a stored table (column 1, long): eight bits an id, 2 ** ``FILTER_BITS`` at most."""
+    bits = min(FILTER_BITS, max(16, (8 * ids.count()).bit_length()))
+    size = 1 << min(bits, 19)  # bits of a chunk
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[list[pa.Array]]:
+        places = np.zeros(1 << bits, bool)
+        for b in batches:
+            places[scramble(b.column(0).drop_null().to_numpy().view(np.uint64)) & np.uint64(len(places) - 1)] = True
+        part = TaskContext.get().partitionId()
+        for c in range(0, len(places), size):
+            if places[c : c + size].any():
+                yield [pa.array([c // size]), pa.array([part]), pa.array([zlib.compress(np.packbits(places[c : c + size]).tobytes(), 1)], pa.binary())]
+
+    rows = cut(map_arrow(ids, run, "chunk int, part int, f binary"), "filter-parts")
+    out = np.zeros(((1 << bits) // size, size // 8), np.uint8)
+    for chunk, x in merge_chunks(rows, "u1", np.bitwise_or).items():
+        out[chunk] = x
+    discard(rows)
+    return out.ravel()
+
+
+def may_hold(packed: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """False only for ids that ``filter_bits`` wasn't given."""
+    at = scramble(ids) & np.uint64(8 * len(packed) - 1)
+    return (packed[at >> np.uint64(3)] >> (np.uint8(7) - (at & np.uint64(7)).astype(np.uint8)) & 1).astype(bool)
+
+
+def first_bytes(column: str = "id") -> Column:
+    """56 bits of an id, as ``id_firsts`` gives them."""
+    return F.conv(F.hex(F.substring(column, 1, 7)), 16, 10).cast("long")
+
+
+def id_firsts(column: pa.Array) -> np.ndarray:
+    return id_words(column)[:, 0].byteswap() >> np.uint64(8)
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -110,7 +186,8 @@ def components(links: DataFrame) -> DataFrame:
         large = cut(large, "large-star")
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         rest = large.join(low, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        e = cut(rest.unionByName(low.withColumnRenamed("m", "b")).distinct(), "small-star")
+        before, e = e, cut(rest.unionByName(low.withColumnRenamed("m", "b")).distinct(), "small-star")
+        discard(before, large)
     return e.select(F.col("a").alias("id"), F.col("b").alias("comp")).unionByName(e.select(F.col("b").alias("id"), F.col("b").alias("comp")).distinct())
 
 
@@ -186,17 +263,25 @@ def find_links(rows: DataFrame, features: Callable[[DataFrame], DataFrame], near
         return pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
 
     def verified(pairs: DataFrame, tag: str) -> DataFrame:
-        pairs = cut(pairs, tag)
+        asked = cut(pairs, tag)
         if finer:
-            pairs = cut(test_pairs(pairs, finer[0](ends(pairs)), finer[1]), tag + "-finer")
-        return cut(test_pairs(pairs, payloads(ends(pairs)), test), tag + "-links")
+            asked, before = cut(test_pairs(asked, finer[0](ends(asked)), finer[1]), tag + "-finer"), asked
+            discard(before)
+        out = cut(test_pairs(asked, payloads(ends(asked)), test), tag + "-links")
+        discard(asked)
+        return out
 
     first = verified(close(ordered(stars)), "stars")
     comps = components(first)
-    placed = cut(shared.where("many").select("key", "id").join(comps, "id", "left").withColumn("comp", F.coalesce("comp", "id")), "placed")
-    mixed = placed.groupBy("key").agg(F.count("*").alias("n"), F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    left = placed.join(mixed, "key").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    # a hot key's rows meet by block, never in one task
+    placed = cut(shared.where("many").select("key", "block", "id").join(comps, "id", "left").withColumn("comp", F.coalesce("comp", "id")), "placed")
+    blocks = placed.groupBy("key", "block").agg(F.min("comp").alias("low"), F.max("comp").alias("high"))
+    mixed = blocks.groupBy("key").agg((F.max("block") + 1).alias("blocks"), F.min("low").alias("low"), F.max("high").alias("high")).where("low <> high").select("key", "blocks")
+    mixed = cut(mixed.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))), "mixed")
+    left = placed.join(mixed, ["key", "block"])
     left = left.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     left = left.withColumns({"x": F.least("block", "other"), "y": F.greatest("block", "other")}).join(f, "id")
     second = verified(ordered(cross_pairs(left, near)), "crosses")
-    return first.unionByName(second)
+    out = cut(first.unionByName(second), "links")
+    discard(shared, f, placed, mixed, first, second)
+    return out

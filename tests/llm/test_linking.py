@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from lumenframe.llm import jaccard, linking
+from lumenframe.llm import jaccard, linking, words
 
 
 class Dealt:
@@ -39,7 +39,7 @@ def test_shared_rows_over_any_cut_into_batches(stream):
         for key in sorted({r[0] for r in rows}):
             ids = sorted({r[1] for r in rows if r[0] == key})
             if len(ids) > 1:
-                want += [(key, x, ids[0], ids[j - 1] if j else None, len(ids) > linking.FEW) for j, x in enumerate(ids)]
+                want += [(key, x, ids[0], ids[j - 1] if j else None, len(ids) > linking.FEW, j // linking.BLOCK) for j, x in enumerate(ids)]
         assert got == want
 
 
@@ -63,3 +63,48 @@ def test_sketches_let_every_link_through_and_rule_out_far_sets():
         far = np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64))
         if n >= 40:
             assert not jaccard.near_by_long(jaccard.long_sketch(a) or jaccard.sketch(a), jaccard.long_sketch(far) or jaccard.sketch(far))
+
+
+def test_word_hashes_over_any_cut_into_slices(monkeypatch):
+    rnd = random.Random(3)
+    texts = [" ".join(rnd.choice(["a", "b", "é", "word", "漢字", "x" * 5000, "y" * 300_000, "\t", "\v", "\n"]) for _ in range(rnd.randint(0, 20))) for _ in range(60)] + [None, "", "  ", "abc"]
+    for size in (1 << 21, 3000):
+        monkeypatch.setattr(words, "SLICE", size)
+        known, back, n = {}, {}, 0
+        for s in words.slices(pa.array(texts, pa.string())):
+            for k in range(len(s)):
+                raw = (texts[s.first + k] or "").encode()
+                assert s.text(k) == raw and len(s.hashes(k)) == len(raw.split())
+                for w, h in zip(raw.split(), s.hashes(k).tolist(), strict=True):
+                    assert known.setdefault(w, h) == h and back.setdefault(h, w) == w
+                n += 1
+        assert n == len(texts)
+
+
+def test_round_two_over_several_blocks(spark, monkeypatch):
+    """One key that all ids share, in blocks of four: every pair across components is tested."""
+    monkeypatch.setattr(linking, "BLOCK", 4)
+    n = 30
+    ids = [i.to_bytes(16, "big") for i in range(n)]
+    rows = spark.createDataFrame([(7, bytearray(i)) for i in ids], "key long, id binary")
+    table = spark.createDataFrame([(bytearray(i), bytearray(i)) for i in ids], "id binary, f binary")
+    # links: i and i + 7, which neither a leader nor a neighbour shows
+    found = linking.find_links(
+        rows,
+        lambda w: table.join(w, "id"),
+        lambda x, ys: np.array([abs(int.from_bytes(x, "big") - int.from_bytes(y, "big")) == 7 for y in ys]),
+        lambda w: table.withColumnRenamed("f", "p").join(w, "id"),
+        lambda x, y: abs(int.from_bytes(x, "big") - int.from_bytes(y, "big")) == 7,
+    )
+    comps = {bytes(r["id"]): bytes(r["comp"]) for r in linking.components(found).collect()}
+    assert comps == {ids[i]: ids[i % 7] for i in range(n)}
+
+
+def test_filters_and_merged_chunks(spark, monkeypatch):
+    monkeypatch.setattr(linking, "FAN", 2)
+    given = np.arange(0, 5000, 3)
+    ids = spark.createDataFrame([(int(i),) for i in given] + [(None,)], "id long").repartition(7)
+    packed = linking.filter_bits(ids)
+    assert linking.may_hold(packed, given.astype(np.uint64)).all()
+    assert linking.may_hold(packed, np.arange(1, 50_000, 3, dtype=np.uint64)).mean() < 0.3
+    assert not linking.may_hold(linking.filter_bits(ids.limit(0)), given.astype(np.uint64)).any()

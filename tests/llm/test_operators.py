@@ -4,11 +4,12 @@ import zlib
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 import tiktoken
 from tokenizers import Tokenizer
 
-from lumenframe.llm import bpe, chat, jaccard, licenses, lines, neighbours, packing, quality, urls, warc
+from lumenframe.llm import bpe, chat, jaccard, licenses, lines, neighbours, packing, quality, urls, warc, words
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, ids long"
 BASE = "It was a long and rather quiet evening when the old clock on the wall of the little house stopped for no reason that anyone could name or see"
@@ -200,18 +201,16 @@ def test_bpe_columns(spark):
 
 def test_quality_base_values():
     def values(t):
-        raw = t.encode()
-        words = raw.split()
-        return quality.base_values(raw, words, quality.word_hashes(words))
+        return quality.base_values(next(words.slices(pa.array([t]))), 0)
 
     assert values("a b c a b c d é#\nx\nx\n\n")[:5] == (10, 11, 1, 1, 6)
     assert values("a b c a b c d é#\nx\nx\n\n")[5]
     rng = random.Random(6)
     for _ in range(300):
-        words = [rng.choice("abcd") for _ in range(rng.randint(0, 40))]
-        windows = [tuple(words[i : i + 3]) for i in range(len(words) - 2)]
+        ws = [rng.choice("abcd") for _ in range(rng.randint(0, 40))]
+        windows = [tuple(ws[i : i + 3]) for i in range(len(ws) - 2)]
         covered = {i + j for i, w in enumerate(windows) if windows.count(w) > 1 for j in range(3)}
-        assert values(" ".join(words))[4] == len(covered)
+        assert values(" ".join(ws))[4] == len(covered)
 
 
 def test_quality_keeps_prose_and_drops_junk(spark):
@@ -222,7 +221,7 @@ def test_quality_keeps_prose_and_drops_junk(spark):
     df = docs(spark, good + bad + [None, ""])
     labels = spark.createDataFrame([(i, 1, 0) for i in range(0, 300, 2)] + [(i, 0, 0) for i in range(300, 360, 2)] + [(None, 1, 0), (999, 1, 0)], "doc_id long, quality int, toxic int")
     kept = {r["doc_id"]: r["kept"] for r in quality.quality_rules(df, labels).collect()}
-    assert [kept[i] for i in range(362)] == [quality.n_repeated(quality.word_hashes(t.encode().split())) * 2 <= 80 for t in good] + [False] * 62
+    assert [kept[i] for i in range(362)] == [quality.n_repeated(words.word_hashes(t)) * 2 <= 80 for t in good] + [False] * 62
     out = quality.keep_good(df, labels)
     assert out.columns == df.columns and {r["doc_id"] for r in out.collect()} == {i for i in kept if kept[i]}
     assert quality.quality_rules(df, labels.limit(0)).count() == 362 and quality.keep_good(empty(spark), labels).count() == 0
