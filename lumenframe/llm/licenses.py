@@ -4,8 +4,13 @@ expression behind each tag.
 Score: how much a document's licences ask of a user, 0 (nothing found) to 1 (all rights reserved). ``or`` takes
 the milder side, ``and`` the stricter one, ``with`` an exception halves the way down to permissive.
 
-Edge cases: null and empty texts have no words and no labels, score 0. Repeated rows are judged one by one. A tag
-without a readable identifier gives no label; an expression ends with its line or at the next tag. Extra columns pass through; a clashing one is replaced.
+The automaton reports the words where a tag stands; its expression begins behind them and ends with the line or at the
+next tag. Names are operands; one of no known family gives no label and asks ``UNKNOWN``, but behind an operator in
+small letters it must look like an identifier (a digit, ``-``, ``.`` or ``+`` in it), as in "MIT and so on". An
+expression that names no family and nothing that looks like an identifier is prose and says nothing.
+
+Edge cases: null and empty texts have no words and no labels, score 0. Repeated rows are judged one by one. Extra
+columns pass through; a clashing one is replaced. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -36,8 +41,10 @@ NOTICES = {
     "dedicated to the public domain": "public-domain",
 }
 TAG = "spdx license identifier"
-TAG_RAW = re.compile(rb"spdx[^0-9a-z\x80-\xff]+license[^0-9a-z\x80-\xff]+identifier[ \t]*:?[ \t]*")
-LINE_END = re.compile(rb"[\r\n]")
+AFTER_TAG = re.compile(rb"[ \t]*:?[ \t]*([^\r\n]*)")
+WORD = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
+#: What a name of no known family asks.
+UNKNOWN = 0.7
 
 # Families of identifiers by prefix, longest first, and what each asks of a user.
 FAMILIES = {
@@ -47,14 +54,17 @@ FAMILIES = {
 }
 ORDERED = sorted(FAMILIES, key=lambda f: (-len(f), f))
 RANK = {"with": 3, "and": 2, "or": 1}
-PIECE = re.compile(r"[()]|[0-9a-z][0-9a-z.+-]*")
+PIECE = re.compile(r"[()]|[0-9A-Za-z][0-9A-Za-z.+-]*")
+IDENTIFIER = re.compile(r"[0-9.+-]")
 WORD_OR_SPACE = bytes(c if 0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A or c >= 0x80 else c + 32 if 0x41 <= c <= 0x5A else 32 for c in range(256))
 
 SCHEMA = "n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double"
 
 
+@cache
 def family(name: str) -> str | None:
-    return next((f for f in ORDERED if name == f or name.startswith((f + "-", f + "+")) or (name.startswith(f) and name[len(f) : len(f) + 1].isdigit())), None)
+    """The family that the name is, or is a version or variant of: ``gpl``, ``gpl-2.0``, ``gplv2+``, ``bsd3``."""
+    return next((f for f in ORDERED if name.startswith(f) and re.fullmatch(r"(v?\d[\d.]*)?[+]?(-.*)?", name[len(f) :])), None)
 
 
 def to_postfix(text: str) -> list[str]:
@@ -62,17 +72,18 @@ def to_postfix(text: str) -> list[str]:
     out: list[str] = []
     stack: list[str] = []
     sound: list[str] = []
-    operand, after_with, depth = True, False, 0
-    for piece in PIECE.findall(text):
+    operand, depth, before = True, 0, "OR"
+    for written in PIECE.findall(text):
+        piece = written.lower()
         if operand:
             if piece == "(":
                 stack.append(piece)
                 depth += 1
                 continue
-            if piece == ")" or piece in RANK or not (after_with or family(piece)):
+            if piece == ")" or piece in RANK or not (before.isupper() or before == "with" or family(piece) or IDENTIFIER.search(piece)):
                 break
             out.append(piece)
-            operand = after_with = False
+            operand = False
         elif piece == ")":
             if not depth:
                 break
@@ -84,7 +95,7 @@ def to_postfix(text: str) -> list[str]:
             while stack and stack[-1] != "(" and RANK[stack[-1]] >= RANK[piece]:
                 out.append(stack.pop())
             stack.append(piece)
-            operand, after_with = True, piece == "with"
+            operand, before = True, written
             continue
         else:
             break
@@ -97,15 +108,18 @@ def to_postfix(text: str) -> list[str]:
 
 def evaluate(postfix: list[str]) -> tuple[set[str], float]:
     """The families that an expression names and what it asks."""
+    names = [p for p in postfix if p not in RANK]
+    if not any(family(n) or IDENTIFIER.search(n) for n in names):
+        return set(), 0.0
     stack: list[tuple[set[str], float]] = []
     for p in postfix:
         if p not in RANK:
             f = family(p)
-            stack.append(({f} if f else set(), FAMILIES.get(f, 0.7)))
+            stack.append(({f} if f else set(), FAMILIES.get(f, UNKNOWN)))
             continue
         (b, y), (a, x) = stack.pop(), stack.pop()
         stack.append((a, (x + min(x, 0.2)) / 2) if p == "with" else (a | b, max(x, y) if p == "and" else min(x, y)))
-    return stack[-1] if stack else (set(), 0.0)
+    return stack[-1]
 
 
 @cache
@@ -125,29 +139,30 @@ def scan(text: str | None) -> tuple:
     base: list[int] = []
     base_labels: set[str] = set()
     labels: set[str] = set()
-    score, tagged, at, word = 0.0, False, 0, 0
+    tags: list[int] = []
+    score, at, word = 0.0, 0, 0
     for end, (phrase, label) in automaton().iter(joined):
         start = end - len(phrase) - 1  # of the space before the phrase
-        if phrase == TAG:
-            tagged = True
-            continue
-        labels.add(label)
-        score = max(score, FAMILIES[label])
-        if phrase in BASE:
+        if phrase != TAG:
+            labels.add(label)
+            score = max(score, FAMILIES[label])
+        if phrase == TAG or phrase in BASE:
             if start >= at:
                 word, at = word + joined.count(" ", at, start), start
                 place = word
             else:  # a longer phrase was reported first
                 place = word - joined.count(" ", start, at)
-            base.append(place)
-            base_labels.add(label)
-    if tagged:
-        low = raw.lower()
-        tags = list(TAG_RAW.finditer(low))
+            if phrase == TAG:
+                tags.append(place)
+            else:
+                base.append(place)
+                base_labels.add(label)
+    if tags:
+        spans = [m.span() for m in WORD.finditer(raw)]
         # an expression ends with its line, or where the next tag begins
-        for m, stop in zip(tags, [t.start() for t in tags[1:]] + [len(low)], strict=True):
-            end = LINE_END.search(low, m.end(), stop)
-            named, asks = evaluate(to_postfix(low[m.end() : end.start() if end else stop].decode("utf-8", "replace")))
+        for t, stop in zip(tags, [spans[n][0] for n in tags[1:]] + [len(raw)], strict=True):
+            said = AFTER_TAG.match(raw, spans[t + TAG.count(" ")][1], stop)[1]
+            named, asks = evaluate(to_postfix(said.decode("utf-8", "replace")))
             labels |= named
             score = max(score, asks)
     return len(words), len(base), min(base, default=None), max(base, default=None), ",".join(sorted(base_labels)), ",".join(sorted(labels)), score
