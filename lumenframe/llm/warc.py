@@ -64,19 +64,39 @@ def record(page: int | None, url: str | None, payload: bytes, refers_to: int | N
 
 
 def archive(records: list[bytes]) -> bytes:
-    """A leading dictionary frame (none where there is too little to learn from) and a frame per record."""
+    """A leading dictionary frame and a frame per record. Where there is too little to train a dictionary on, the first
+    record itself is one."""
     try:
         d = zstandard.train_dictionary(DICTIONARY_BYTES, [r[:65536] for r in records[:DICTIONARY_RECORDS]])
-        raw = d.as_bytes()
-        lead = struct.pack("<II", DICTIONARY_FRAME, len(raw)) + raw
-        c = zstandard.ZstdCompressor(level=3, dict_data=d, write_content_size=True)
     except zstandard.ZstdError:
-        lead, c = b"", zstandard.ZstdCompressor(level=3, write_content_size=True)
-    return lead + b"".join(map(c.compress, records))
+        d = zstandard.ZstdCompressionDict(records[0][:DICTIONARY_BYTES], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+    raw = d.as_bytes()
+    c = zstandard.ZstdCompressor(level=3, dict_data=d, write_content_size=True)
+    return struct.pack("<II", DICTIONARY_FRAME, len(raw)) + raw + b"".join(map(c.compress, records))
+
+
+def frame_end(data: memoryview, at: int) -> int:
+    """Where the frame that begins at ``at`` ends, read off its header and its blocks' headers."""
+    if bytes(data[at : at + 4]) != zstandard.FRAME_HEADER or at + 5 > len(data):
+        raise ValueError(f"bad frame at byte {at}")
+    flags = data[at + 4]
+    single = flags >> 5 & 1
+    end = at + 5 + (not single) + (0, 1, 2, 4)[flags & 3] + ((1 if single else 0), 2, 4, 8)[flags >> 6]
+    last = False
+    while not last:
+        if end + 3 > len(data):
+            raise ValueError(f"frame at byte {at} cut short")
+        head = int.from_bytes(data[end : end + 3], "little")
+        last, kind = bool(head & 1), head >> 1 & 3
+        end += 3 + (1 if kind == 1 else head >> 3)
+    end += 4 * (flags >> 2 & 1)
+    if end > len(data):
+        raise ValueError(f"frame at byte {at} cut short")
+    return end
 
 
 def frames(data: bytes) -> Iterator[bytes]:
-    """The records of an archive."""
+    """The records of an archive, in time linear in its bytes."""
     at, known = 0, None
     if len(data) >= 8 and struct.unpack_from("<I", data)[0] == DICTIONARY_FRAME:
         size = struct.unpack_from("<I", data, 4)[0]
@@ -89,17 +109,18 @@ def frames(data: bytes) -> Iterator[bytes]:
     z = zstandard.ZstdDecompressor(dict_data=known) if known else zstandard.ZstdDecompressor()
     view = memoryview(data)
     while at < len(data):
-        if (struct.unpack_from("<I", data, at)[0] & 0xFFFFFFF0) == 0x184D2A50 if len(data) - at >= 8 else False:
+        if len(data) - at >= 8 and struct.unpack_from("<I", data, at)[0] & 0xFFFFFFF0 == 0x184D2A50:
             at += 8 + struct.unpack_from("<I", data, at + 4)[0]
             continue
+        end = frame_end(view, at)
         o = z.decompressobj()
         try:
-            out = o.decompress(view[at:])
+            out = o.decompress(view[at:end])
         except zstandard.ZstdError as e:
             raise ValueError(f"bad frame at byte {at}: {e}") from e
-        if not o.eof:
-            raise ValueError(f"frame at byte {at} cut short")
-        at = len(data) - len(o.unused_data)
+        if not o.eof or o.unused_data:
+            raise ValueError(f"bad frame at byte {at}")
+        at = end
         yield out
 
 
