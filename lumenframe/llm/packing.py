@@ -12,9 +12,11 @@ and null ids are packed like any other row. An empty table gives no rows.
 from __future__ import annotations
 
 import re
+import sys
 import unicodedata
 import zlib
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -32,8 +34,31 @@ REMEMBERED = 500_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 # The vocabulary's pattern of pieces.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-#: Texts with these go through the tokenizer as a whole: special tokens, and controls that Python takes for white space.
+
+
+def unassigned() -> str:
+    """A character class of the code points that this Python's tables don't know."""
+    out, first = [], None
+    for c in range(0x80, sys.maxunicode + 2):
+        new = c <= sys.maxunicode and unicodedata.category(chr(c)) == "Cn"
+        if new and first is None:
+            first = c
+        elif not new and first is not None:
+            out.append(f"{chr(first)}-{chr(c - 1)}")
+            first = None
+    return "".join(out)
+
+
+#: Texts with these go through the tokenizer as a whole: special tokens, controls that Python takes for white space, and
+#: code points that Python, the pattern library and the tokenizer may know by different versions of Unicode.
 WHOLE = re.compile("[\x1c-\x1f]|<\\|(?:start|end)oftext\\|>")
+
+
+@cache
+def unknown() -> re.Pattern:
+    return re.compile(f"[{unassigned()}]")
+
+
 #: Where a mark's first character isn't a mark too, a mark before a white space may be set apart.
 MARKS = re.compile(r"[^\w\s][.,]|_[.,]")
 
@@ -72,7 +97,7 @@ class WordTokens:
 
     def encode(self, text: str | None) -> bytes:
         text = text or ""
-        if WHOLE.search(text):
+        if WHOLE.search(text) or not text.isascii() and unknown().search(text):
             return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         words, known = self._ready(text).split(), self.words
         try:
