@@ -6,10 +6,12 @@ level makes no mistake. A key of the universe is listed if the first level that
 levels take it and their number is odd. Keys outside the universe get an answer that may be wrong.
 
 A level is an array of 64-bit words that travels as a scalar of the plan. Its size is a known number of bits per key
-(``BITS``) and is checked: a list whose filter would pass ``MAX_BITS`` is answered by a semi-join instead.
+(``BITS``) and is checked: where a level would pass ``MAX_BITS``, keys are halved by hash, as often as it takes, and each
+part has a cascade of its own, built and applied one after the other, so one part's levels are all that is held.
 
 Edge cases: null urls, and urls without ``://``, have an empty host and path; no rule fits them. A key that occurs many
-times is judged once per row and built in once. An empty table builds empty levels and gives no rows.
+times is judged once per row and built in once. An empty table builds empty levels and gives no rows. Columns host,
+path, rule and verdict of the input are replaced, all others pass through.
 """
 
 from __future__ import annotations
@@ -20,9 +22,10 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lumenframe.llm.batches import fresh
 from lumenframe.plans.scratch import cut
 
-BITS, HASHES, MAX_BITS = 10, 4, 1 << 29
+BITS, HASHES, MAX_BITS = 10, 4, 1 << 28
 URL = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -126,16 +129,34 @@ def judge_urls(pages: DataFrame, rules: list[Rule], universe: DataFrame, url: st
     """``pages`` with host, path, rule and verdict; where no rule fits, a listed host is blocked.
 
     ``universe`` holds every host of ``pages`` as key, and whether it is listed."""
+    universe = cut(universe, "universe")
     rows = pages.drop("host", "path", "rule", "verdict").withColumns({"host": host(F.col(url)), "path": path(F.col(url))})
-    fits = longest_rule(rules, F.col("host"), F.col("path"))
-    cascade = build_cascade(universe, max_bits)
-    if cascade:
-        rows = rows.withColumn("_listed", cascade.lists(F.col("host")))
-    else:
-        rows = rows.join(universe.where("listed").select(F.col("key").alias("host"), F.lit(True).alias("_listed")), "host", "left")
-    rows = rows.withColumn("_rule", fits)
-    own = F.when(F.coalesce("_listed", F.lit(False)), "block").otherwise("allow")
-    return rows.withColumns({"rule": F.col("_rule.name"), "verdict": F.coalesce(F.col("_rule.verdict"), own)}).drop("_rule", "_listed")
+    (fit,) = fresh(rows, "_rule")
+    names = rows.columns
+
+    def judged(cascade: Cascade, where: Column | None) -> DataFrame:
+        part = rows if where is None else rows.where(where)
+        own = F.when(cascade.lists(F.col("host")), "block").otherwise("allow")
+        part = part.withColumn(fit, longest_rule(rules, F.col("host"), F.col("path")))
+        return part.select(*names, F.col(f"{fit}.name").alias("rule"), F.coalesce(F.col(f"{fit}.verdict"), own).alias("verdict"))
+
+    whole = build_cascade(universe, max_bits)
+    if whole:
+        return judged(whole, None)
+    out, todo = None, [(0, 2), (1, 2)]
+    while todo:
+        part, of = todo.pop()
+
+        def here(key: str, part: int = part, of: int = of) -> Column:
+            return F.pmod(F.xxhash64(F.col(key), F.lit("part")), F.lit(of)) == part
+
+        cascade = build_cascade(universe.where(here("key")), max_bits)
+        if cascade is None:
+            todo += [(part, 2 * of), (part + of, 2 * of)]
+            continue
+        done = cut(judged(cascade, here("host")), "judged")
+        out = done if out is None else out.unionByName(done)
+    return out
 
 
 def tracking_hosts(pages: DataFrame, url: str = "url", share: float = 0.5) -> DataFrame:
