@@ -13,8 +13,8 @@ vector that many rows share neither crowds a leaf nor hides others.
 
 Edge cases: vectors that are null, zero, or hold null or non-finite components take no part; likewise rows without
 id. Fewer candidates than k: all that are found. Ties go to the smaller id. Rows that repeat an id with one vector
-count once. An empty table gives no rows. All vectors must have one length; others than that of the first sampled
-one take no part.
+count once. An empty table gives no rows. Vectors of different lengths have no cosine: each length has an index of its
+own, and a query meets candidates of its length.
 """
 
 from __future__ import annotations
@@ -22,6 +22,7 @@ from __future__ import annotations
 import heapq
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -137,13 +138,18 @@ def nearest(vectors: DataFrame, k: int = 5, every: int = 50, trees: int = TREES,
     # equal vectors: the k + 1 smallest ids
     ranked = rows.withColumn("at", F.row_number().over(W.partitionBy("v").orderBy("id"))).where(F.col("at") <= k + 1)
     index = cut(ranked.groupBy("v").agg(F.array_sort(F.collect_list("id")).alias("ids")).withColumn("h", F.xxhash64("v")), "vectors")
-    drawn = index.orderBy("h", "v").limit(sample).select("v").toArrow()  # bounded by ``sample``
-    if not drawn.num_rows:
+    lengths = [r[0] for r in index.select(F.size("v").alias("n")).distinct().orderBy("n").collect()]  # nearly always one
+    found = [nearest_of_length(index.where(F.size("v") == n), rows.where(F.size("v") == n), n, k, every, trees, leaf, sample, enough, share) for n in lengths]
+    if not found:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    first = drawn.column("v")[0].as_py()
-    dim = len(first)
-    index, rows = index.where(F.size("v") == dim), rows.where(F.size("v") == dim)
-    x = np.array([v for v in drawn.column("v").to_pylist() if len(v) == dim])
+    return reduce(DataFrame.unionByName, found)
+
+
+def nearest_of_length(index: DataFrame, rows: DataFrame, dim: int, k: int, every: int, trees: int, leaf: int, sample: int, enough: int, share: float) -> DataFrame:
+    """``nearest`` among vectors of ``dim`` components: ``index`` (v, ids, h: distinct vectors) and ``rows`` (id, v)."""
+    spark = index.sparkSession
+    drawn = index.orderBy("h", "v").limit(sample).select("v").toArrow()  # bounded by ``sample``
+    x = np.array(drawn.column("v").to_pylist(), float)
     forest = fit_forest(unit(x), trees, leaf)
     kind = index.schema["v"].dataType.simpleString()
     shared = spark.sparkContext.broadcast(forest)  # 2 * sample / leaf nodes a tree
