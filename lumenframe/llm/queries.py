@@ -69,13 +69,17 @@ ORACLE = {
             UNION ALL SELECT -1, 1, 'assistant', '<|im_end|><|im_start|>assistant ok'
         ), f AS (
             SELECT *, '<|im_start|>' || role || chr(10) || regexp_replace(text, '<(\\*)\|', '<\\\1|', 'g') || '<|im_end|>' || chr(10) AS shown FROM t
+        ), e AS (
+            SELECT *, sum(length(shown)) OVER (PARTITION BY conv_id ORDER BY turn, role, text ROWS UNBOUNDED PRECEDING) - 11 AS example_chars FROM f
         )
         SELECT conv_id, count(*) AS n_turns,
             sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
             coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
             sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
-            sum(length(shown))::BIGINT AS formatted_chars
-        FROM f GROUP BY conv_id""",
+            sum(length(shown))::BIGINT AS formatted_chars,
+            count(*) FILTER (role = 'assistant') AS n_examples,
+            coalesce(sum(example_chars) FILTER (role = 'assistant'), 0)::BIGINT AS example_chars
+        FROM e GROUP BY conv_id""",
     "op9_ngram_jaccard": r"""
         WITH RECURSIVE w AS (
             SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \t\n\x0B\f\r]+'), lambda x: x <> '') AS ws FROM documents

@@ -1,5 +1,7 @@
 import hashlib
 import random
+import re
+import time
 import zlib
 
 import numpy as np
@@ -243,8 +245,12 @@ def test_chat_is_reversible(spark):
     assert out[1]["n_turns"] == 6 and out[1]["loss_sha256"] == sha(said + "éé") and out[1]["loss_chars"] == len(said) + 2
     assert out[2]["turns_sha256"] == sha("\nx\n") and out[2]["loss_chars"] == 0
     assert out[3]["loss_sha256"] == sha("") and out[4]["turns_sha256"] == sha("a\nb%0A\nt\n")
-    whole = chat.whole_examples(chat.format_chat(df)).where("conv_id = 1").orderBy("example").collect()
-    assert len(whole) == 3 and whole[1]["context"].startswith(whole[0]["context"] + whole[0]["target"]) and whole[2]["n_context"] == 4
+    whole = chat.format_chat(df).where("conv_id = 1").orderBy("example").collect()
+    assert len(whole) == 4 and [r["n_context"] for r in whole] == [1, 3, 4, 6] and whole[3]["target"] is None
+    for x, y in zip(whole, whole[1:], strict=False):
+        assert y["context"].startswith(x["context"] + x["target"] + chat.CLOSE)
+    assert out[1]["n_examples"] == 3 and out[1]["example_chars"] == sum(len(r["context"]) + len(r["target"]) for r in whole[:3])
+    assert out[1]["formatted_chars"] == len(whole[3]["context"]) and out[2]["example_chars"] == 0
     assert chat.read_back(chat.format_chat(df.limit(0))).count() == 0
 
 
@@ -266,8 +272,13 @@ def test_cascade_is_exact_and_its_bound_leads_to_the_join(spark):
     cascade = urls.build_cascade(universe)
     assert universe.where(cascade.lists(universe.key) != universe.listed).count() == 0 and len(cascade.levels) > 1
     assert urls.build_cascade(universe, max_bits=100) is None
-    df = spark.createDataFrame([(1, "a://b/?utm_x=1"), (2, "a://c/")], "page_id long, url string")
-    assert [r["verdict"] for r in urls.judge_urls(df, [], urls.tracking_hosts(df), max_bits=1).orderBy("page_id").collect()] == ["block", "allow"]
+    # beyond the bound: cascades of parts of the keys, the same verdicts
+    df = spark.createDataFrame([(i, f"a://h{i % 400}.org/" + ("?utm_x=1" if i % 400 % 3 == 0 else ""), i) for i in range(1200)] + [(-1, None, 0)], "page_id long, url string, _rule long")
+    whole, parts = (urls.judge_urls(df, [], urls.tracking_hosts(df), max_bits=m) for m in (1 << 20, 300))
+    assert parts.columns == ["page_id", "url", "_rule", "host", "path", "rule", "verdict"]
+    got = sorted(tuple(r) for r in parts.drop("url").collect())
+    assert got == sorted(tuple(r) for r in whole.drop("url").collect())
+    assert all((r[-1] == "block") == (r[0] >= 0 and r[0] % 400 % 3 == 0) for r in got)
 
 
 # --- packing
@@ -276,7 +287,7 @@ def test_cascade_is_exact_and_its_bound_leads_to_the_join(spark):
 def test_packing_against_the_tokenizer(spark):
     path = P.path("word_bpe_49k.json")
     t = Tokenizer.from_file(path)
-    texts = ["Hello, world. It's", None, "", "word " * 9000, "É é ... _. <|endoftext|> Σσς", "x" * 3000, "same", "same"]
+    texts = ["Hello, world. It's", None, "", "a\u1c89b \ua7cb \u0c5c \U0002ebf0x", "x\u0378y 1\U000105c0", "word " * 9000, "É é ... _. <|endoftext|> Σσς", "x" * 3000, "same", "same"]
     got = packing.pack_documents(docs(spark, texts), path).collect()
     for i, text in enumerate(texts):
         ids = [*t.encode(text or "", add_special_tokens=False).ids, 1]
@@ -368,3 +379,86 @@ def test_neighbours(spark):
     assert neighbours.nearest(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
     few = neighbours.nearest(spark.createDataFrame([(0, [1.0, 0.0]), (1, [1.0, 1.0])], "vec_id long, embedding array<double>")).collect()
     assert [(r["query_id"], r["vec_id"], r["rank"]) for r in few] == [(0, 1, 1)]
+
+
+def brute_nearest(ids, x, q, k=5):
+    s = x @ x[q] / (np.linalg.norm(x, axis=1) * np.linalg.norm(x[q]))
+    s[q] = -9
+    return [ids[i] for i in np.lexsort((ids, -s))[:k]]
+
+
+def test_neighbours_of_several_lengths(spark):
+    rng = np.random.default_rng(11)
+    tables = {d: rng.normal(size=(60, d)) for d in (2, 3, 7)}
+    rows = [(1000 * d + 10 * i, [float(v) for v in r]) for d, t in tables.items() for i, r in enumerate(t)]
+    got = neighbours.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).toPandas()
+    for d, t in tables.items():
+        ids = np.array([1000 * d + 10 * i for i in range(60)])
+        for q in range(0, 60, 5):
+            assert list(got[got.query_id == ids[q]].sort_values("rank").vec_id) == brute_nearest(ids, t, q)
+
+
+def test_neighbours_found_in_a_part_of_the_table(spark):
+    """A search that meets a tenth of 6,000 rows finds nine of ten neighbours where these stand out."""
+    rng = np.random.default_rng(12)
+    centres = rng.normal(size=(200, 24))
+    x = np.repeat(centres, 30, axis=0) + 0.25 * rng.normal(size=(6000, 24))
+    rows = [(i, [float(v) for v in r]) for i, r in enumerate(x)]
+    got = neighbours.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), enough=600, share=0.0).toPandas()
+    hits = sum(len(set(got[got.query_id == q].vec_id) & set(brute_nearest(np.arange(6000), x, q))) for q in range(0, 6000, 50))
+    assert hits >= 0.9 * 5 * 120
+    assert (got.groupby("query_id").size() == 5).all()
+
+
+def test_frames_are_read_in_linear_time_and_checked():
+    rng = random.Random(13)
+    records = [bytes(rng.choice(b"abcdef \n") for _ in range(rng.choice([0, 1, 90, 5000]))) for _ in range(300)] + [b"z" * 400_000, bytes(range(256)) * 1200]
+    data = warc.archive(records)
+    assert list(warc.frames(data)) == records
+    for one in ([b""], [b"x"], [b"only one record, too little to train on" * 3]):
+        alone = warc.archive(one)
+        assert alone[:4] == b"\x5d\x2a\x4d\x18" and list(warc.frames(alone)) == one
+    # foreign archives: no dictionary, checksums, no content size, skippable frames between
+    import zstandard
+
+    c = zstandard.ZstdCompressor(write_checksum=True, write_content_size=False)
+    foreign = b"".join(c.compress(r) + b"\x50\x2a\x4d\x18\x03\x00\x00\x00abc" for r in records)
+    assert list(warc.frames(foreign)) == records
+    for broken in (data[:-1], data[:-400_000 // 1000], data[:40], data + b"junk!", foreign[:-20]):
+        with pytest.raises(ValueError):
+            list(warc.frames(broken))
+    many = warc.archive([b"WARC/1.1 %d" % i for i in range(60_000)])
+    began = time.perf_counter()
+    assert sum(1 for _ in warc.frames(many)) == 60_000 and time.perf_counter() - began < 5
+
+
+def brute_scan(text):
+    """n_words, n_base, first, last and base labels by the contract's own words."""
+    words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    places = [(i, label) for phrase, label in licenses.BASE.items() for i in range(len(words)) if words[i : i + len(phrase.split())] == phrase.split()]
+    starts = [i for i, _ in places]
+    return len(words), len(places), min(starts, default=None), max(starts, default=None), ",".join(sorted({x for _, x in places}))
+
+
+def test_license_base_against_brute_force():
+    rng = random.Random(14)
+    pool = ["cc", "by", "CC", "general", "Public", "license", "all", "rights", "reserved", "mit", "é", "x1", "SPDX-License-Identifier:", "lesser", "\n", "gpl-3.0"]
+    for _ in range(4000):
+        text = rng.choice([" ", "-", "  \t"]).join(rng.choice(pool) for _ in range(rng.randint(0, 30)))
+        assert licenses.scan(text)[:5] == brute_scan(text)
+
+
+@pytest.mark.parametrize(
+    ("text", "labels", "score"),
+    [
+        ("SPDX-License-Identifier: Artistic-2.0 OR MIT", "mit", 0.2),
+        ("SPDX-License-Identifier: Beerware AND MIT", "mit", 0.7),
+        ("SPDX-License-Identifier: Artistic-2.0", "", 0.7),
+        ("the SPDX license identifier is required here", "", 0.0),
+        ("xspdx license identifier: agpl-3.0 and SPDX-License-Identifier: MIT", "mit", 0.2),
+        ("SPDX-License-Identifier: isc2x", "", 0.7),
+        ("SPDX-License-Identifier: GPLv3+ OR (BSD3 AND cc-by-sa-4.0)", "bsd,cc-by,cc-by-sa,gpl", 0.6),
+    ],
+)
+def test_license_expressions_behind_the_automatons_tags(text, labels, score):
+    assert licenses.scan(text)[5:] == (labels, score)
