@@ -10,13 +10,20 @@ def choose(n: int, k: int) -> float:
     return exp(lgamma(n + 1) - lgamma(k + 1) - lgamma(n - k + 1)) if 0 <= k <= n else 0.0
 
 
-def binomial_tail(n: int, k: int, p: float) -> float:
-    """Chance of k or more hits in n tries."""
+def log_binomial_tail(n: int, k: int, p: float) -> float:
+    """Natural logarithm of the chance of k or more hits in n tries."""
     if k <= 0 or p >= 1:
-        return 1.0
-    if p <= 0 or k > n:
         return 0.0
-    return min(1.0, sum(exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * log(p) + (n - j) * log1p(-p)) for j in range(k, n + 1)))
+    if p <= 0 or k > n:
+        return float("-inf")
+    terms = [lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * log(p) + (n - j) * log1p(-p) for j in range(k, n + 1)]
+    top = max(terms)
+    return min(0.0, top + log(sum(exp(t - top) for t in terms)))
+
+
+def binomial_tail(n: int, k: int, p: float) -> float:
+    """Chance of k or more hits in n tries."""
+    return exp(log_binomial_tail(n, k, p))
 
 
 def incomplete_beta(a: float, b: float, x: float) -> float:

@@ -62,11 +62,11 @@ def halved(plane: np.ndarray, taps: np.ndarray, axis: int) -> np.ndarray:
 
 @transform("Wavelet")
 def wavelet(image: Image) -> np.ndarray:
-    """One level of the symlet transform: details above and left, the approximation below and right."""
+    """One level of the symlet transform: details of both axes above left, the approximation below right. Of the other two
+    blocks the one above is of details along x, the one on the left of details along y."""
     low, high = (halved(image.plane, t, 0) for t in (SYMLET_LOW, SYMLET_HIGH))
     blocks = [[halved(part, t, 1) for t in (SYMLET_HIGH, SYMLET_LOW)] for part in (high, low)]
     (high_high, high_low), (low_high, low_low) = blocks
-    # columns of details come first, rows of details above
     return np.block([[high_high, low_high], [high_low, low_low]])
 
 

@@ -1,24 +1,31 @@
-"""Weighted-neighbour classification over feature spaces.
+"""Weighted-neighbour classification over feature spaces, for one split or many at once.
 
-Column statistics and weights are two-level aggregates; the selected, weighted columns of the train set then meet each
-batch of test rows as one matrix of bounded size. A train set beyond ``CHUNK_ROWS`` goes through in chunks, whose class
-sums are added, so what a task or the driver holds never grows with it.
+Column statistics and weights are two-level aggregates. The selected columns of the train set, scaled and weighted, then
+meet each batch of test rows as one matrix, and what is kept of a pair is reduced on the spot: class sums, extremes,
+nearest rows. Only ids travel; labels are joined last. A train set of at most ``CHUNK_ROWS`` rows is broadcast (its size
+is counted first); beyond that both sides are dealt into blocks of ``BLOCK_ROWS`` rows that meet by an equi-join of
+block numbers, so neither a task nor the driver ever holds more than two blocks.
+
+A missing, null or non-real feature scales to 0. Pairs at a squared distance of ``EPS`` or less collide and don't count.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from lumenframe.plans.relations import EPS, long_form, run_plan
 
-#: Rows of the train set that a task holds at once.
-CHUNK_ROWS = 50_000
+#: Rows of the train set (over all splits) that may be broadcast; rows of a block beyond that; test rows compared at once.
+CHUNK_ROWS, BLOCK_ROWS, ROWS = 50_000, 8_192, 256
 
 
 def fisher_weights(samples: DataFrame) -> DataFrame:
@@ -26,59 +33,187 @@ def fisher_weights(samples: DataFrame) -> DataFrame:
     return run_plan("SELECT fidx, w FROM fisher", long=long_form(samples))
 
 
-def model(train: DataFrame, top: int) -> tuple[np.ndarray, ...]:
-    """Index, minimum, maximum and weight of the ``top`` columns."""
-    rows = run_plan(f"SELECT fidx, mn, mx, w FROM ranked JOIN mm USING (fidx) WHERE r <= {top} ORDER BY fidx", long=long_form(train)).toPandas()  # one row per column
-    return tuple(rows[c].to_numpy() for c in ("fidx", "mn", "mx", "w"))
+@dataclass(frozen=True)
+class Model:
+    """The selected columns of a split: their index, minimum, maximum and weight."""
+
+    idx: np.ndarray
+    mn: np.ndarray
+    mx: np.ndarray
+    w: np.ndarray
+
+    def scaled(self, x: np.ndarray) -> np.ndarray:
+        """Of the selected columns: clipped to the range, scaled to 0 .. 100, weighted."""
+        wide = np.where(self.mx == self.mn, 1.0, self.mx - self.mn)
+        v = 100.0 * (np.clip(x, self.mn, self.mx) - self.mn) / wide
+        return np.where((self.mx == self.mn) | np.isnan(v), 0.0, v) * self.w
+
+    def rooted(self) -> Model:
+        """With weights that count once in a squared distance."""
+        return Model(self.idx, self.mn, self.mx, np.sqrt(self.w))
+
+
+Models = dict[int, Model]
+
+
+def models(rows) -> Models:
+    """By split, of a small table (split, fidx, mn, mx, w)."""
+    return {int(s): Model(*(g.sort_values("fidx")[c].to_numpy() for c in ("fidx", "mn", "mx", "w"))) for s, g in rows.groupby("split")}
+
+
+def model(train: DataFrame, top: int) -> Models:
+    """The ``top`` heaviest columns, as the one split 0."""
+    return models(run_plan(f"SELECT 0 AS split, fidx, mn, mx, w FROM ranked JOIN mm USING (fidx) WHERE r <= {int(top)}", long=long_form(train)).toPandas())  # a row per selected column
+
+
+Reduce = Callable[[np.ndarray, np.ndarray, np.ndarray, list], list]
+
+
+def class_sums(t: np.ndarray, d: np.ndarray, r: np.ndarray, labels: list) -> list:
+    """t, rl, n, s: of each test row and class, pairs that don't collide and their sum of d ** -5."""
+    names, of = np.unique(np.array(["" if x is None else x for x in labels], object).astype(str), return_inverse=True)
+    one_hot = np.eye(len(names))[of]
+    apart = d > EPS
+    s = np.where(apart, d, 1.0) ** -5 * apart
+    return [np.repeat(t, len(names)), np.tile(names.astype(object), len(t)), (apart @ one_hot).astype(np.int64).ravel(), (s @ one_hot).ravel()]
+
+
+def extremes(t: np.ndarray, d: np.ndarray, r: np.ndarray, labels: list) -> list:
+    """t, pairs, lo, hi over pairs that don't collide."""
+    apart = d > EPS
+    some = apart.any(axis=1)
+    return [t[some], apart.sum(axis=1)[some], np.where(apart, d, np.inf).min(axis=1)[some], np.where(apart, d, -np.inf).max(axis=1)[some]]
+
+
+def all_pairs(t: np.ndarray, d: np.ndarray, r: np.ndarray, labels: list) -> list:
+    """t, r, d of every pair that doesn't collide."""
+    i, j = np.nonzero(d > EPS)
+    return [t[i], r[j], d[i, j]]
+
+
+def nearest_rows(k: int, least: float = EPS, apart: bool = False) -> Reduce:
+    """t, r, d of the k nearest at more than ``least``; ties to the smaller id; ``apart``: never the row itself."""
+
+    def run(t: np.ndarray, d: np.ndarray, r: np.ndarray, labels: list) -> list:
+        d = np.where(d > least, d, np.inf)
+        if apart:
+            d = np.where(t[:, None] == r[None, :], np.inf, d)
+        at = np.lexsort((np.broadcast_to(r, d.shape), d), axis=1)[:, :k]
+        best = np.take_along_axis(d, at, axis=1)
+        i, j = np.nonzero(np.isfinite(best))
+        return [t[i], r[at[i, j]], best[i, j]]
 
+    return run
 
-def scaled(x: np.ndarray, idx: np.ndarray, mn: np.ndarray, mx: np.ndarray, w: np.ndarray) -> np.ndarray:
-    wide = np.where(mx == mn, 1.0, mx - mn)
-    v = 100.0 * (np.clip(x[:, idx], mn, mx) - mn) / wide
-    return np.where(mx == mn, 0.0, v) * w
 
+SUMS, EXTREMES, PAIRS = "t long, rl string, n long, s double", "t long, pairs long, lo double, hi double", "t long, r long, d double"
 
-def class_sums(test: DataFrame, train: DataFrame, top: int) -> DataFrame:
-    """t, rl, n, s: of each test sample and train class, the pairs that don't collide and their sum of d ** -5."""
+
+def selected(samples: DataFrame, by: Models) -> DataFrame:
+    """split, sample_id, label, x (the split's selected columns) of samples with a column ``split``."""
+    rows = [(s, [int(i) for i in m.idx]) for s, m in by.items()]
+    chosen = F.broadcast(samples.sparkSession.createDataFrame(rows, "split int, idx array<int>"))  # the columns of a model a split
+    x = F.transform("idx", lambda i: F.get("features", i))
+    return samples.join(chosen, "split").select("split", "sample_id", "label", x.alias("x"))
+
+
+def matrix(column: pa.Array, width: int) -> np.ndarray:
+    """Rows of ``width`` numbers; null: not a number."""
+    flat = column.flatten()
+    return flat.cast(pa.float64()).fill_null(float("nan")).to_numpy(zero_copy_only=False).reshape(len(column), width)
+
+
+def meet(test: DataFrame, train: DataFrame, by: Models, reduce: Reduce, schema: str) -> DataFrame:
+    """split and ``schema``'s columns: what ``reduce`` makes of the distances between rows of ``test`` and of ``train``
+    (both with a column ``split``) in each split. Without a broadcast a test row is reduced once for each block it met."""
     spark = test.sparkSession
-    m = model(train, top)
-    keyed = train.select("sample_id", "label", F.slice("features", 1, 1_000_000).alias("features"))
-    chunks = max(1, -(-train.count() // CHUNK_ROWS))
-    out = None
-    for c in range(chunks):
-        part = keyed.where(F.pmod(F.xxhash64("sample_id"), F.lit(chunks)) == c).toArrow()  # about CHUNK_ROWS rows
-        labels, of = np.unique(np.array(part.column("label").to_pylist(), object).astype(str), return_inverse=True)
-        z = scaled(np.array(part.column("features").to_pylist(), float).reshape(len(of), -1), *m) if len(of) else np.empty((0, len(m[0])))
-        shared = spark.sparkContext.broadcast((z, of, labels.tolist(), m))
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            z, of, labels, m = shared.value
-            one_hot = np.eye(len(labels))[of]
+    kind = T._parse_datatype_string("split int, " + schema)
+    out_schema = to_arrow_schema(kind)
+    asked, known = selected(test, by).select("split", "sample_id", "x"), selected(train, by)
+
+    def reduced(split: int, ids: np.ndarray, x: np.ndarray, r: np.ndarray, labels: list, z: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for at in range(0, len(ids), ROWS):
+            part = x[at : at + ROWS]
+            d = np.zeros((len(part), len(z)))
+            for f in range(z.shape[1]):  # direct differences: no cancellation near zero
+                d += (part[:, f, None] - z[:, f]) ** 2
+            cols = reduce(ids[at : at + ROWS], d, r, labels)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(cols[0]), split, np.int32)), *(pa.array(c, t.type) for c, t in zip(cols, list(out_schema)[1:], strict=True))], schema=out_schema)
+
+    if train.count() <= CHUNK_ROWS:
+        held = {}
+        for split, part in known.toPandas().groupby("split"):  # at most CHUNK_ROWS rows of selected columns
+            x = np.array([[np.nan if v is None else v for v in row] for row in part["x"]], float).reshape(len(part), -1)
+            held[int(split)] = part["sample_id"].to_numpy(), part["label"].tolist(), by[int(split)].scaled(x)
+        shared = spark.sparkContext.broadcast(held)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                if not b.num_rows or not len(z):
-                    continue
-                x = scaled(np.array(b.column(1).to_pylist(), float), *m)
-                ids = b.column(0)
-                for at in range(0, len(x), 256):
-                    d = np.zeros((len(x[at : at + 256]), len(z)))
-                    for f in range(z.shape[1]):  # direct differences: no cancellation near zero
-                        d += (x[at : at + 256, f, None] - z[:, f]) ** 2
-                    apart = d > EPS
-                    s = np.where(apart, d, 1.0) ** -5 * apart
-                    n, total = apart @ one_hot, s @ one_hot
-                    k = len(labels)
-                    take = pa.array(np.repeat(np.arange(at, at + len(d)), k))
-                    yield pa.RecordBatch.from_arrays([ids.take(take), pa.array(labels * len(d), pa.string()), pa.array(n.ravel().astype(np.int64)), pa.array(total.ravel())], ["t", "rl", "n", "s"])
-
-        one = test.select("sample_id", "features").mapInArrow(run, "t long, rl string, n long, s double")
-        out = one if out is None else out.unionByName(one)
-    return out.groupBy("t", "rl").agg(F.sum("n").alias("n"), F.sum("s").alias("s")) if chunks > 1 else out
+                splits, ids = b.column(0).to_numpy(), b.column(1).to_numpy()
+                for split in np.unique(splits):
+                    if int(split) not in shared.value:
+                        continue
+                    r, labels, z = shared.value[int(split)]
+                    mine = splits == split
+                    x = by[int(split)].scaled(matrix(b.column(2).filter(pa.array(mine)), z.shape[1]))
+                    yield from reduced(int(split), ids[mine], x, r, labels, z)
+
+        return asked.mapInArrow(run, kind)
+
+    def blocked(df: DataFrame, name: str) -> tuple[DataFrame, int]:
+        blocks = max(1, -(-df.count() // BLOCK_ROWS))
+        return df.withColumn(name, F.pmod(F.xxhash64("sample_id", "split"), F.lit(blocks)).cast("int")), blocks
+
+    (left, n), (right, m) = blocked(asked, "i"), blocked(known, "j")
+    left = left.withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(m - 1))))
+    right = right.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    right = right.select(*[F.col(c).alias(c) for c in right.columns])  # both sides may come from one table
+
+    def both(one: pa.Table, two: pa.Table) -> pa.Table:
+        one, two = one.combine_chunks(), two.combine_chunks()
+        if not one.num_rows or not two.num_rows:
+            return out_schema.empty_table()
+        split = one.column("split")[0].as_py()
+        m = by[split]
+        x, z = (m.scaled(matrix(t.column("x").combine_chunks(), len(m.idx))) for t in (one, two))
+        return pa.Table.from_batches(reduced(split, one.column("sample_id").to_numpy(), x, two.column("sample_id").to_numpy(), two.column("label").to_pylist(), z), schema=out_schema)
+
+    return left.groupBy("split", "i", "j").cogroup(right.groupBy("split", "i", "j")).applyInArrow(both, kind)
+
+
+def similarities(test: DataFrame, train: DataFrame, by: Models) -> DataFrame:
+    """split, t, rl, s: mean of d ** -5 over the pairs of a test row and a class that don't collide. Classes whose
+    pairs all collide give no row."""
+    met = meet(test, train, by, class_sums, SUMS).groupBy("split", "t", "rl").agg(F.sum("n").alias("n"), F.sum("s").alias("s"))
+    return met.where("n > 0").select("split", "t", "rl", (F.col("s") / F.col("n")).alias("s"))
+
+
+def nearest(test: DataFrame, train: DataFrame, by: Models, k: int, least: float = EPS, apart: bool = False) -> DataFrame:
+    """split, t, r, d, k (from 1) of each test row's nearest train rows."""
+    met = meet(test, train, by, nearest_rows(k, least, apart), PAIRS)
+    order = W.partitionBy("split", "t").orderBy("d", "r")  # k rows for each block that a test row met
+    return met.withColumn("k", F.row_number().over(order)).where(F.col("k") <= k)
+
+
+def distance_ranges(test: DataFrame, train: DataFrame, by: Models) -> DataFrame:
+    """split, t, pairs, lo, hi."""
+    return meet(test, train, by, extremes, EXTREMES).groupBy("split", "t").agg(F.sum("pairs").alias("pairs"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+
+
+def one_split(samples: DataFrame) -> DataFrame:
+    return samples.withColumn("split", F.lit(0))
 
 
 def wnd5(test: DataFrame, train: DataFrame, top: int) -> DataFrame:
     """t, rl, p (marginal probability), log_norm, pl (predicted): samples are sample_id, label, value, grp, seq,
-    features. Classes whose pairs all collide give no row."""
-    sims = class_sums(test, train, top).where("n > 0").select("t", "rl", (F.col("s") / F.col("n")).alias("s"))
+    features. Classes whose pairs all collide give no row; any number of test rows will do, one included."""
+    sims = similarities(one_split(test), one_split(train), model(train, top))
     w = W.partitionBy("t")
     p = sims.withColumns({"nf": F.sum("s").over(w), "pl": F.max_by("rl", "s").over(w)})
     return p.select("t", "rl", F.round(F.col("s") / F.col("nf"), 6).alias("p"), F.round(F.log("nf"), 5).alias("log_norm"), "pl")
+
+
+def same_result(a: DataFrame, b: DataFrame, within: float = 0.005) -> DataFrame:
+    """t, same: whether two results (t, rl, p) agree in every class of a row; a class that only one has doesn't."""
+    both = a.select("t", "rl", F.col("p").alias("pa")).join(b.select("t", "rl", F.col("p").alias("pb")), ["t", "rl"], "full")
+    return both.groupBy("t").agg(F.bool_and(F.coalesce(F.abs(F.col("pa") - F.col("pb")) <= within, F.lit(False))).alias("same"))

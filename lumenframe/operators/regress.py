@@ -16,8 +16,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Partitions between the rows' own and the last one.
-FAN = 64
+#: Partitions between the rows' own and the last one; groups that may be left out in turn.
+FAN, MOST_GROUPS = 64, 256
 
 
 def _fold(rows: DataFrame) -> DataFrame:
@@ -68,6 +68,50 @@ def least_squares(train: DataFrame, test: DataFrame, weights: list[float]) -> Da
     return test.withColumn("predicted", F.when(_finite("features"), value))
 
 
+def _factors(rows: DataFrame, by: str) -> dict[int, np.ndarray]:
+    """The triangular factor of each group's rows (``by``: int); a task holds one factor per group it has met."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict[int, np.ndarray] = {}
+        for b in batches:
+            for g, part in b.groupby(by):
+                new = np.array(part["features"].tolist(), float)
+                held[int(g)] = np.linalg.qr(np.vstack((held[int(g)], new)) if int(g) in held else new, mode="r")
+        for g, f in held.items():
+            yield pd.DataFrame({by: [g] * len(f), "features": list(f)})
+
+    schema = f"{by} int, features array<double>"
+    once = rows.select(F.col(by).cast("int").alias(by), "features").mapInPandas(run, schema)
+    out: dict[int, list] = {}
+    for r in once.repartition(FAN, by).mapInPandas(run, schema).collect():  # a factor per group
+        out.setdefault(r[by], []).append(r.features)
+    return {g: np.array(f, float) for g, f in out.items()}
+
+
+def leave_group_out(rows: DataFrame, weights: list[float], by: str, most: int = MOST_GROUPS) -> DataFrame:
+    """``rows`` (features, value and the group ``by``, int) with ``predicted``, each row from a fit on all other groups.
+
+    The driver holds a factor per group, so there may be ``most`` groups; of more, take folds of groups. A row without
+    a group, or the only group, has no prediction."""
+    weighted = F.zip_with("features", _numbers(weights), lambda x, w: x * w)
+    known = rows.where(_finite("features") & F.col("value").isNotNull() & ~F.isnan("value") & F.col(by).isNotNull())
+    if known.select(by).distinct().limit(most + 1).count() > most:
+        raise ValueError(f"more than {most} groups: take folds of them")
+    factors = _factors(known.select(F.col(by), F.concat(weighted, F.array(F.lit(1.0), F.col("value"))).alias("features")), by)
+    solved = []
+    for g in factors:
+        others = [f for h, f in factors.items() if h != g]
+        if others:
+            whole = np.linalg.qr(np.vstack(others), mode="r")
+            c = np.linalg.lstsq(whole[:, :-1], whole[:, -1], rcond=None)[0]
+            solved.append((g, [float(x) for x in c]))
+    table = rows.sparkSession.createDataFrame(solved, f"{by} int, _solved array<double>")  # a row per group
+    out = rows.join(F.broadcast(table), by, "left")
+    scaled = F.zip_with(weighted, F.slice("_solved", 1, len(weights)), lambda x, c: x * c)
+    value = F.aggregate(scaled, F.lit(0.0), lambda s, x: s + x) + F.element_at("_solved", -1)
+    return out.withColumn("predicted", F.when(_finite("features") & F.col("_solved").isNotNull(), value)).drop("_solved")
+
+
 def fit_discriminants(train: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """(overall mean, scalings: features x components) of at most classes - 1 linear discriminants.
 

@@ -67,6 +67,17 @@ def clean(spark: SparkSession) -> None:
         delete(spark, _written.pop())
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """``names``, each with as many underscores as keep it apart from the columns of ``df``."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for n in names:
+        while n.lower() in taken:
+            n += "_"
+        out.append(n)
+    return out
+
+
 def numbered(df: DataFrame, name: str = "_row") -> DataFrame:
     """``df`` with a number of its own for every row (``name``), fixed as the table is written."""
     return cut(df.withColumn(name, F.monotonically_increasing_id()), "rows")

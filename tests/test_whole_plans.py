@@ -1,7 +1,8 @@
 import numpy as np
 
 from lumenframe.plans.catalog import PLANS
-from lumenframe.plans.relations import EPS, long_form, run_plan
+from lumenframe.plans.queries import channels, plan_over
+from lumenframe.plans.relations import EPS
 
 
 def samples(spark, values, labels):
@@ -14,7 +15,7 @@ def test_similarity_map_covers_all_samples(spark):
     labels = np.array(["abc"[i % 3] for i in range(45)])
     x = rng.normal(size=(45, 12)) + (labels == "a")[:, None] * np.arange(12) / 4
     x[44] = x[2]  # a collision has no row
-    got = run_plan(PLANS["J11_similarity_map"], long=long_form(samples(spark, x, labels))).collect()
+    got = plan_over(samples(spark, x, labels), PLANS["J11_similarity_map"]).collect()
     u = 100 * (x - x.min(0)) / (x.max(0) - x.min(0))
     means = np.array([u[labels == c].mean(0) for c in "abc"])
     w = ((means - u.mean(0)) ** 2).sum(0) / 2 / np.array([u[labels == c].var(0, ddof=1) for c in "abc"]).mean(0)
@@ -29,10 +30,10 @@ def test_similarity_map_covers_all_samples(spark):
 
 def test_ranks_channels_and_columns_cover_all_features(spark):
     x = np.random.default_rng(31).integers(0, 9, size=(20, 64)).astype(float)
-    long = long_form(samples(spark, x, "ab" * 10))
-    ranks = {(r["sample_id"], r["fidx"]): r["avg_rank"] for r in run_plan(PLANS["W4_average_ranks"], long=long).collect()}
+    s = samples(spark, x, "ab" * 10)
+    ranks = {(r["sample_id"], r["fidx"]): r["avg_rank"] for r in plan_over(s, PLANS["W4_average_ranks"]).collect()}
     assert ranks == {(i, k): (x[:, k] < x[i, k]).sum() + ((x[:, k] == x[i, k]).sum() + 1) / 2 for i in range(20) for k in range(64)}
-    wide = {(r["grp"], r["wide_idx"]): (r["name"], r["v"]) for r in run_plan(PLANS["J7_channels"], long=long).collect()}
+    wide = {(r["grp"], r["wide_idx"]): (r["name"], r["v"]) for r in channels(s).collect()}
     assert wide == {(i // 4, i % 4 * 64 + k): (f"Embedding ({i % 4}) [{k}]", x[i, k]) for i in range(20) for k in range(64)}
-    both = {(r["sample_id"], r["fidx"]): r["v"] for r in run_plan(PLANS["U3_columns"], long=long).collect()}
+    both = {(r["sample_id"], r["fidx"]): r["v"] for r in plan_over(s, PLANS["U3_columns"]).collect()}
     assert both == {(i, k + 64 * j): x[i, k] ** (j + 1) for i in range(20) for k in range(64) for j in range(2)}
