@@ -237,7 +237,7 @@ _haralick = """WITH tn AS (SELECT img, y, x, g, dense_rank() OVER (PARTITION BY
  ce AS (SELECT pq.img, pq.angle, sum(pq.p ^ 2) AS asm, sum(pq.i * pq.j * pq.p) AS ij, sum(pq.p / (1 + (pq.i - pq.j) ^ 2)) AS idm, -sum(pq.p * log2(pq.p + 1e-9)) AS ent, -sum(pq.p * log2(a.p * b.p + 1e-9)) AS hxy1 FROM pq JOIN mg a ON a.img = pq.img AND a.angle = pq.angle AND a.i = pq.i JOIN mg b ON b.img = pq.img AND b.angle = pq.angle AND b.i = pq.j GROUP BY pq.img, pq.angle),
  al AS (SELECT * FROM ce JOIN ms USING (img, angle) JOIN h2 USING (img, angle) JOIN se USING (img, angle) JOIN sv USING (img, angle) JOIN de USING (img, angle)),
  st AS (SELECT img, unnest([0, 1, 2, 3, 4, 5, 6, 7, 9, 10, 11, 12, 13]) AS k, unnest([asm, con, (ij - mean ^ 2) / var, dvar, dent, ent, (ent - hxy1) / hx, idm, sqrt(abs(1 - exp(-2 * (hxy2 - ent)))), savg, sent, svar, var]) AS v FROM al)
- SELECT img, (2 * k)::INT AS idx, round(avg(v), 5) + 0.0 AS v FROM st GROUP BY img, k UNION ALL SELECT img, (2 * k + 1)::INT, round(max(v) - min(v), 5) + 0.0 FROM st GROUP BY img, k"""
+ SELECT img, (2 * k)::INT AS idx, floor(avg(v) * 10000 + 0.501) / 10000 AS v FROM st GROUP BY img, k UNION ALL SELECT img, (2 * k + 1)::INT, floor((max(v) - min(v)) * 10000 + 0.501) / 10000 FROM st GROUP BY img, k"""
 _comb = f"""WITH ln AS (SELECT img, d, CASE d WHEN 0 THEN 3 - y WHEN 1 THEN 3 - x WHEN 2 THEN x - y ELSE 7 - x - y END AS p, v FROM px, range(4) q(d)),
  m1 AS (SELECT img, d, p, count(*) AS n, avg(v) AS mean FROM ln GROUP BY img, d, p),
  m2 AS (SELECT img, d, p, n, any_value(mean) AS mean, sum((v - mean) ^ 2) AS s2, sum((v - mean) ^ 3) AS s3, sum((v - mean) ^ 4) AS s4 FROM ln JOIN m1 USING (img, d, p) GROUP BY img, d, p, n),

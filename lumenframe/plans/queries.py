@@ -249,13 +249,18 @@ def discriminants(s: DataFrame) -> DataFrame:
 # --- planes
 
 
+def evenly(v: F.Column, steps: int = 10_000) -> F.Column:
+    """Rounded to steps, halves up even where arithmetic has lost their last bits: so both engines agree on fractions."""
+    return F.floor(v * steps + 0.501) / steps
+
+
 def described(name: str, transforms: str = "", digits: int = 6) -> Callable[[SparkSession, str], DataFrame]:
     """img, idx, v: a descriptor of the embeddings as planes of eight columns."""
     plan = FeaturePlan([f"{name} ({transforms})"])
 
     def run(s: DataFrame) -> DataFrame:
         out = compute(planes_of(s.select("sample_id", "features")), plan)
-        return out.select(F.col("sample_id").alias("img"), F.posexplode("features").alias("idx", "v")).select("img", "idx", (F.round("v", digits) + 0.0).alias("v"))
+        return out.select(F.col("sample_id").alias("img"), F.posexplode("features").alias("idx", "v")).select("img", "idx", (F.round("v", digits) + 0.0 if digits else evenly(F.col("v"))).alias("v"))
 
     return over_embeddings(run)
 
@@ -393,8 +398,8 @@ def function_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "F1_chebyshev_fourier": described("Chebyshev-Fourier Coefficients"),
         "F2_chebyshev": described("Chebyshev Coefficients"),
         "F3_zernike": described("Zernike Coefficients"),
-        "F4_haralick": lambda spark, sf_dir: described("Haralick Textures", digits=5)(spark, sf_dir).where("idx NOT IN (16, 17)"),
-        "F4_maximal_correlation": lambda spark, sf_dir: described("Haralick Textures", digits=5)(spark, sf_dir).where("idx IN (16, 17)"),
+        "F4_haralick": lambda spark, sf_dir: described("Haralick Textures", digits=0)(spark, sf_dir).where("idx NOT IN (16, 17)"),
+        "F4_maximal_correlation": lambda spark, sf_dir: described("Haralick Textures", digits=0)(spark, sf_dir).where("idx IN (16, 17)"),
         "F5_multiscale": described("Multiscale Histograms"),
         "F6_tamura": described("Tamura Textures", digits=5),
         "F7_comb": described("Comb Moments"),
