@@ -46,7 +46,7 @@ def test_sig_rows_and_round_trip(spark, tmp_path):
     r = files.sig_samples(files.whole_texts(spark, at)).first()
     assert (r.basename, r.tile_cols, r.tile_rows, r.tile_col, r.tile_row, r.long, r.color, r.rot) == ("img_sj-05-3362-R2_001_E", 6, 5, 5, 4, True, False, None)
     text = sinks.sig_text(files.sig_samples(files.whole_texts(spark, at))).first().value
-    assert text == "2\t4.2\n./img.tif\n4023.0\tEdge () [0]\n0.5\tEdge () [1]"
+    assert text == "2\t4.2\n./img.tif\n4023\tEdge () [0]\n0.5\tEdge () [1]"
 
 
 def test_sig_without_version(spark, tmp_path):
