@@ -35,9 +35,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumenframe.llm.batches import fresh
-from lumenframe.llm.linking import components, filter_bits, find_links, first_bytes, id_bytes, id_firsts, map_arrow, may_hold, merge_chunks
+from lumenframe.llm.linking import KEYS, components, filter_bits, find_links, first_bytes, id_firsts, key_arrays, map_arrow, may_hold, merge_chunks
 from lumenframe.llm.words import MIX, scramble, slices
-from lumenframe.plans.scratch import cut, numbered
+from lumenframe.plans.scratch import cut, discard, numbered
 
 WIDTH, PERCENT = 5, 80
 #: Counters of the table of list lengths (a power of two); a list is long from HOT, or MEANS times the mean, on.
@@ -190,7 +190,7 @@ def scan_sets(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, np.nd
 
 
 def key_rows(docs: DataFrame, hot: np.ndarray, small: int, percent: int = PERCENT) -> DataFrame:
-    """key, id: subsets of sets up to ``small``, first elements of the others and of those close below."""
+    """KEYS: subsets of sets up to ``small``, first elements of the others and of those close below."""
     shared = docs.sparkSession.sparkContext.broadcast(np.packbits(hot))  # 2 ** TABLE_BITS bits
     mask = np.uint64((1 << TABLE_BITS) - 1)
 
@@ -221,10 +221,9 @@ def key_rows(docs: DataFrame, hot: np.ndarray, small: int, percent: int = PERCEN
                 ids.append(i)
                 counts.append(len(mine))
             if keys:
-                words = np.frombuffer(b"".join(ids), "<u8").reshape(-1, 2)
-                yield [pa.array(np.concatenate(keys).view(np.int64)), id_bytes(np.repeat(words, counts, axis=0))]
+                yield key_arrays(np.concatenate(keys), ids, counts)
 
-    return map_arrow(docs.select("text"), run, "key long, id binary")
+    return map_arrow(docs.select("text"), run, KEYS)
 
 
 def similar_sets(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -238,9 +237,11 @@ def similar_sets(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     small = boundary(mean_list, percent)
     known = sets.where("id is not null").groupBy("id").agg(F.min("doc_id").alias("doc_id"), F.first("f").alias("f"), F.first("g").alias("g"))
     known = cut(known, "known-sets")
+    held = [known]  # tables that the search alone reads
 
     def payloads(wanted: DataFrame) -> DataFrame:
         reps = cut(known.join(wanted, "id").select("doc_id", "id"), "wanted")
+        held.append(reps)
         shared = docs.sparkSession.sparkContext.broadcast(filter_bits(reps.select("doc_id")))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[list[pa.Array]]:
@@ -266,6 +267,7 @@ def similar_sets(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     def long_features(wanted: DataFrame) -> DataFrame:
         # a filter of bounded size spares most sketches the shuffle; the join decides
         wanted = cut(wanted, "wanted-sketches")
+        held.append(wanted)
         shared = docs.sparkSession.sparkContext.broadcast(filter_bits(wanted.select(first_bytes())))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[list[pa.Array]]:
@@ -283,8 +285,10 @@ def similar_sets(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
         lambda x, y: links(x, y, percent),
         (long_features, lambda x, y: near_by_long(x, y, percent)),
     )
-    comps = known.select("id", "doc_id").join(components(found), "id", "left").withColumn("comp", F.coalesce("comp", "id"))
+    linked = components(found)
+    comps = known.select("id", "doc_id").join(linked, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
     comps = cut(comps, "placed-sets")
+    discard(found, linked, *held)
     names = comps.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
     named = comps.join(names, "comp").select("id", "component_id")
     return sets.select("doc_id", "n", "id").join(named, "id", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))

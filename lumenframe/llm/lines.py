@@ -31,8 +31,8 @@ from pyspark.sql import functions as F
 
 from lumenframe.llm.batches import fresh
 from lumenframe.llm.jaccard import SEEN
-from lumenframe.llm.linking import components, filter_bits, find_links, first_bytes, id_bytes, map_arrow, may_hold
-from lumenframe.plans.scratch import cut, numbered
+from lumenframe.llm.linking import KEYS, components, filter_bits, find_links, first_bytes, id_longs, key_arrays, map_arrow, may_hold
+from lumenframe.plans.scratch import cut, discard, numbered
 
 THRESHOLD, MIN_CHARS = 2, 40
 BLANK = " \t\r\x0b\x0c"
@@ -150,8 +150,7 @@ def key_rows(docs: DataFrame, threshold: int = THRESHOLD, min_chars: int = MIN_C
             keys, ids, counts = [], [], []
 
             def out() -> list[pa.Array]:
-                words = np.frombuffer(b"".join(ids), "<u8").reshape(-1, 2)
-                return [pa.array(np.array(keys, np.uint64).view(np.int64)), id_bytes(np.repeat(words, counts, axis=0))]
+                return key_arrays(np.array(keys, np.uint64), ids, counts)
 
             for i, line in new_lines(b.column(0).to_pylist(), seen, min_chars):
                 mine = line_keys(line, threshold, min_chars)
@@ -164,12 +163,11 @@ def key_rows(docs: DataFrame, threshold: int = THRESHOLD, min_chars: int = MIN_C
             if keys:
                 yield out()
 
-    return map_arrow(docs.select("text"), run, "key long, id binary")
+    return map_arrow(docs.select("text"), run, KEYS)
 
 
-def lines_of(docs: DataFrame, wanted: DataFrame, make, min_chars: int = MIN_CHARS) -> DataFrame:
-    """(id, p): what ``make`` makes of each wanted line."""
-    wanted = cut(wanted, "wanted-lines")
+def lines_of(docs: DataFrame, wanted: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
+    """(id, p): each line, as UTF-8, of a stored table of ids."""
     shared = docs.sparkSession.sparkContext.broadcast(filter_bits(wanted.select(first_bytes())))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[list[pa.Array]]:
@@ -178,14 +176,23 @@ def lines_of(docs: DataFrame, wanted: DataFrame, make, min_chars: int = MIN_CHAR
             found = list(new_lines(b.column(0).to_pylist(), seen, min_chars))
             if not found:
                 continue
-            firsts = np.array([int.from_bytes(i[:7], "big") for i, _ in found], np.uint64)
-            held = [found[k] for k in np.flatnonzero(may_hold(shared.value, firsts))]
-            yield [pa.array([i for i, _ in held], pa.binary()), pa.array([make(line) for _, line in held], pa.binary())]
+            held = [found[k] for k in np.flatnonzero(may_hold(shared.value, id_longs([i for i, _ in found])[:, 0].view(np.uint64) >> np.uint64(8)))]
+            yield [pa.array([i for i, _ in held], pa.binary()), pa.array([line.encode("utf-8", "surrogatepass") for _, line in held], pa.binary())]
 
     rows = map_arrow(docs.select("text"), run, "id binary, p binary")
     return rows.join(wanted, "id", "left_semi").dropDuplicates(["id"])
 
 
+def counted(lines: DataFrame) -> DataFrame:
+    """(id, f): the character counts of (id, p)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[list[pa.Array]]:
+        for b in batches:
+            yield [b.column(0), pa.array([character_counts(p.decode("utf-8", "surrogatepass")) for p in b.column(1).to_pylist()], pa.binary())]
+
+    return map_arrow(lines, run, "id binary, f binary")
+
+
 def occurrences(docs: DataFrame, min_chars: int = MIN_CHARS, short: bool = True) -> DataFrame:
     """doc_id, row, line (number from 0), id of every line that takes part."""
 
@@ -209,17 +216,22 @@ def dropped_lines(docs: DataFrame, threshold: int = THRESHOLD, min_chars: int =
     text, _row) that goes."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "_row")
 
-    def payloads(wanted: DataFrame) -> DataFrame:
-        return lines_of(docs, wanted, lambda line: line.encode("utf-8", "surrogatepass"), min_chars)
+    held: list[DataFrame] = []  # tables that the search alone reads: ids that share a key, and their lines
 
     def features(wanted: DataFrame) -> DataFrame:
-        return lines_of(docs, wanted, character_counts, min_chars).withColumnRenamed("p", "f")
+        held.append(cut(wanted, "wanted-lines"))
+        held.append(cut(lines_of(docs, held[0], min_chars), "shared-lines"))
+        return counted(held[1])
+
+    def payloads(wanted: DataFrame) -> DataFrame:
+        return held[1].join(wanted, "id")
 
     def test(a: bytes, b: bytes) -> bool:
         return edit_distance_within(a.decode("utf-8", "surrogatepass"), b.decode("utf-8", "surrogatepass"), threshold)
 
     found = find_links(key_rows(docs, threshold, min_chars), features, lambda x, y: near(x, y, threshold), payloads, test)
     comps = components(found)
+    discard(found, *held)
     places = cut(occurrences(docs, min_chars, short), "lines")
     first = places.groupBy("id").agg(F.min(F.struct("doc_id", "row", "line")).alias("first"), F.count("*").alias("n"))
     first = first.join(comps, "id", "left")

@@ -1,4 +1,4 @@
-"""What the similarity joins share: from rows (key, id) of an inverted index to the connected components of all links.
+"""What the similarity joins share: from rows (KEYS: a key and an id in two words) of an inverted index to the connected components of all links.
 
 No step lists all pairs of a group. Round 1 tests, for each row of a key with several ids, the key's smallest id and
 the id before it: pairs grow with the rows. Components of the links found so far come next. Round 2 takes only keys
@@ -6,14 +6,13 @@ of more than ``FEW`` ids (of the others round 1 tests all pairs) that still lie
 bounded size, and tests every pair across components that an exact bound on features lets through. Every link thus lies
 within a component that the links returned also span.
 
-Ids are 16 bytes. Rows of equal (key, id) count once. Keys are read in order as a stream, so a hot key needs no memory.
+Ids are 16 bytes. Rows of equal key and id count once. Keys are read in order as a stream, so a hot key needs no memory.
 """
 
 from __future__ import annotations
 
 import zlib
 from collections.abc import Callable, Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +31,9 @@ from lumenframe.plans.scratch import cut, discard
 BLOCK = 512
 #: Of a key with so many ids or fewer, round 1 tests every pair: each id against the smallest and the one before.
 FEW = 3
-LINK = "a binary, b binary"
+#: Rows of one key that a task holds at once.
+HELD = 100_000
+LINK, KEYS = "a binary, b binary", "key long, hi long, lo long"
 #: Parts that meet at once on the way to one; bits of the largest filter.
 FAN, FILTER_BITS = 64, 27
 
@@ -61,43 +62,84 @@ def map_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[
     return df.mapInArrow(whole(go), kind)
 
 
+def id_longs(ids: list[bytes]) -> np.ndarray:
+    """16-byte ids as rows of two signed words, high bytes first."""
+    return np.frombuffer(b"".join(ids), ">u8").reshape(-1, 2).astype(np.uint64).view(np.int64)
+
+
+def key_arrays(keys: np.ndarray, ids: list[bytes], counts: list[int]) -> list[pa.Array]:
+    """KEYS' columns: ``counts`` keys of each id in order."""
+    words = np.repeat(id_longs(ids), counts, axis=0)
+    return [pa.array(keys.view(np.int64)), pa.array(np.ascontiguousarray(words[:, 0])), pa.array(np.ascontiguousarray(words[:, 1]))]
+
+
 def shared_rows(rows: DataFrame) -> DataFrame:
-    """Of rows (key long, id binary): key, id, leader (the key's smallest id), before (the id before; null for the
-    leader), many (more than ``FEW`` ids have the key) and block (its place among the key's ids by ``BLOCK``), for keys
-    that several ids have."""
+    """Of rows (KEYS): key, id, leader (the key's smallest id), before (the id before; null for the leader), many (more
+    than ``FEW`` ids have the key) and block (its place among the key's ids by ``BLOCK``), for keys that several ids have.
+
+    Rows come sorted by key alone, which is one number; ids are sorted here, a key at a time. A key of more than
+    ``HELD`` rows goes on in parts: its ids are sorted within each, its leader is the first part's, and one that two
+    parts hold has a row in both."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[list[pa.Array]]:
-        # The last FEW rows wait for their successors. Of the row before them: key, id, leader, rank in its key.
-        prior: tuple[int, np.ndarray, np.ndarray, int] | None = None
-        key, ids = np.empty(0, np.int64), np.empty((0, 2), "<u8")
-        for b in chain(batches, [None]):
-            if b is not None:
-                key, ids = np.concatenate((key, b.column(0).to_numpy())), np.concatenate((ids, id_words(b.column(1))))
-                new = np.ones(len(key), bool)
-                new[1:] = (key[1:] != key[:-1]) | (ids[1:] != ids[:-1]).any(axis=1)
-                key, ids = key[new], ids[new]
-            ready = len(key) if b is None else len(key) - FEW
-            if ready <= 0:
-                continue
-            at = np.arange(len(key))
-            goes_on = np.append(key[1:] == key[:-1], False)  # the next row has the same key
-            follows = np.roll(goes_on, 1)
-            start = np.maximum.accumulate(np.where(follows, 0, at))
-            rank, lead, before = at - start, ids[start], np.roll(ids, 1, axis=0)
-            if prior and prior[0] == key[0]:
-                first = start == 0
-                rank[first] += prior[3] + 1
-                lead[first], before[0], follows[0] = prior[2], prior[1], True
-            ahead = np.minimum(at + np.maximum(FEW - rank, 0), len(key) - 1)  # the row of rank FEW, if the key has one
-            many = (rank >= FEW) | (at + FEW - rank < len(key)) & (key[ahead] == key)
-            shared = np.flatnonzero((follows | goes_on)[:ready])
-            prior_ids = pc.if_else(pa.array(follows[shared]), id_bytes(before[shared]), pa.scalar(None, pa.binary()))
-            yield [pa.array(key[shared]), id_bytes(ids[shared]), id_bytes(lead[shared]), prior_ids, pa.array(many[shared]), pa.array((rank[shared] // BLOCK).astype(np.int32))]
-            last = ready - 1
-            prior = int(key[last]), ids[last].copy(), lead[last].copy(), int(rank[last])
-            key, ids = key[ready:], ids[ready:]
-
-    dealt = rows.repartition("key").sortWithinPartitions("key", "id")
+        hot: tuple[int, np.ndarray, np.ndarray, int] | None = None  # key, leader, last id and rows of a key that goes on
+        held = [np.empty(0, np.int64), np.empty(0, np.uint64), np.empty(0, np.uint64)]
+
+        def emit(key: np.ndarray, hi: np.ndarray, lo: np.ndarray, goes_on: bool) -> Iterator[list[pa.Array]]:
+            """Whole keys; the first may continue ``hot``, the last may go on."""
+            nonlocal hot
+            same = key[1:] == key[:-1]
+            several = np.zeros(len(key), bool)
+            several[1:] |= same
+            several[:-1] |= same
+            if hot:
+                several |= key == hot[0]
+            if goes_on:
+                several |= key == key[-1]
+            at = np.flatnonzero(several)
+            order = at[np.lexsort((lo[at], hi[at], key[at]))]
+            key, ids = key[order], np.stack((hi[order], lo[order]), axis=1)
+            new = np.ones(len(key), bool)
+            new[1:] = (key[1:] != key[:-1]) | (ids[1:] != ids[:-1]).any(axis=1)
+            key, ids = key[new], ids[new]
+            if not len(key):
+                return
+            begins = np.ones(len(key), bool)
+            begins[1:] = key[1:] != key[:-1]
+            first = np.flatnonzero(begins)
+            size = np.diff(np.append(first, len(key)))
+            of = np.repeat(np.arange(len(first)), size)
+            rank = np.arange(len(key)) - first[of]
+            lead, before, has_before = ids[first][of], np.roll(ids, 1, axis=0), rank > 0
+            total = size[of]
+            if hot and key[0] == hot[0]:
+                mine = of == 0
+                rank[mine] += hot[3]
+                total = np.where(mine, total + hot[3], total)
+                lead[mine], before[0], has_before[0] = hot[1], hot[2], True
+            if goes_on:
+                total = np.where(of == of[-1], FEW + 1, total)
+                hot = int(key[-1]), lead[-1].copy(), ids[-1].copy(), int(rank[-1]) + 1
+            else:
+                hot = None
+            take = np.flatnonzero(total > 1)
+            befores = pc.if_else(pa.array(has_before[take]), id_bytes(before[take].byteswap()), pa.scalar(None, pa.binary()))
+            yield [pa.array(key[take]), id_bytes(ids[take].byteswap()), id_bytes(lead[take].byteswap()), befores, pa.array(total[take] > FEW), pa.array((rank[take] // BLOCK).astype(np.int32))]
+
+        for b in batches:
+            held = [np.concatenate((h, b.column(i).to_numpy().view(h.dtype))) for i, h in enumerate(held)]
+            key = held[0]
+            last = int(np.searchsorted(key, key[-1]))  # rows from here on may have successors
+            if last:
+                yield from emit(*(h[:last] for h in held), goes_on=False)
+                held = [h[last:] for h in held]
+            if len(held[0]) > HELD:
+                yield from emit(*held, goes_on=True)
+                held = [h[:0] for h in held]
+        if len(held[0]):
+            yield from emit(*held, goes_on=False)
+
+    dealt = rows.repartition("key").sortWithinPartitions("key")
     return map_arrow(dealt, run, "key long, id binary, leader binary, before binary, many boolean, block int")
 
 
@@ -188,7 +230,9 @@ def components(links: DataFrame) -> DataFrame:
         rest = large.join(low, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         before, e = e, cut(rest.unionByName(low.withColumnRenamed("m", "b")).distinct(), "small-star")
         discard(before, large)
-    return e.select(F.col("a").alias("id"), F.col("b").alias("comp")).unionByName(e.select(F.col("b").alias("id"), F.col("b").alias("comp")).distinct())
+    out = cut(e.select(F.col("a").alias("id"), F.col("b").alias("comp")).unionByName(e.select(F.col("b").alias("id"), F.col("b").alias("comp")).distinct()), "components")
+    discard(e)
+    return out
 
 
 def test_pairs(pairs: DataFrame, payload: DataFrame, test: Callable[[bytes, bytes], bool]) -> DataFrame:
@@ -283,5 +327,5 @@ def find_links(rows: DataFrame, features: Callable[[DataFrame], DataFrame], near
     left = left.withColumns({"x": F.least("block", "other"), "y": F.greatest("block", "other")}).join(f, "id")
     second = verified(ordered(cross_pairs(left, near)), "crosses")
     out = cut(first.unionByName(second), "links")
-    discard(shared, f, placed, mixed, first, second)
+    discard(shared, f, comps, placed, mixed, first, second)
     return out

@@ -29,11 +29,13 @@ def stream(monkeypatch):
 def test_shared_rows_over_any_cut_into_batches(stream):
     rnd = random.Random(1)
     for _ in range(500):
-        rows = sorted((rnd.randint(0, 6) * rnd.choice((1, 1, 0)), rnd.randint(0, 9).to_bytes(16, "big")) for _ in range(rnd.randint(1, 40)))
+        rows = [(rnd.randint(0, 6) * rnd.choice((1, 1, 0)), (rnd.choice((0, 1 << 127, 1 << 64)) | rnd.randint(0, 9)).to_bytes(16, "big")) for _ in range(rnd.randint(1, 40))]
+        rows.sort(key=lambda r: r[0])  # by key alone
         batches, at = [], 0
         while at < len(rows):
             part = rows[at : (at := at + rnd.randint(1, 6))]
-            batches.append(pa.RecordBatch.from_arrays([pa.array([r[0] for r in part], pa.int64()), pa.array([r[1] for r in part], pa.binary())], names=["key", "id"]))
+            words = linking.id_longs([r[1] for r in part])
+            batches.append(pa.RecordBatch.from_arrays([pa.array([r[0] for r in part], pa.int64()), pa.array(words[:, 0].copy()), pa.array(words[:, 1].copy())], names=["key", "hi", "lo"]))
         got = [r for columns in stream(iter(batches)) for r in zip(*(c.to_pylist() for c in columns), strict=True)]
         want = []
         for key in sorted({r[0] for r in rows}):
@@ -86,7 +88,7 @@ def test_round_two_over_several_blocks(spark, monkeypatch):
     monkeypatch.setattr(linking, "BLOCK", 4)
     n = 30
     ids = [i.to_bytes(16, "big") for i in range(n)]
-    rows = spark.createDataFrame([(7, bytearray(i)) for i in ids], "key long, id binary")
+    rows = spark.createDataFrame([(7, *map(int, linking.id_longs([i])[0])) for i in ids], linking.KEYS)
     table = spark.createDataFrame([(bytearray(i), bytearray(i)) for i in ids], "id binary, f binary")
     # links: i and i + 7, which neither a leader nor a neighbour shows
     found = linking.find_links(
@@ -108,3 +110,19 @@ def test_filters_and_merged_chunks(spark, monkeypatch):
     assert linking.may_hold(packed, given.astype(np.uint64)).all()
     assert linking.may_hold(packed, np.arange(1, 50_000, 3, dtype=np.uint64)).mean() < 0.3
     assert not linking.may_hold(linking.filter_bits(ids.limit(0)), given.astype(np.uint64)).any()
+
+
+def test_a_key_of_many_rows_goes_on_in_parts(stream, monkeypatch):
+    monkeypatch.setattr(linking, "HELD", 7)
+    rnd = random.Random(4)
+    ids = [rnd.randint(0, 40).to_bytes(16, "big") for _ in range(90)]
+    rows = [(1, b"a" * 16)] + [(2, i) for i in ids] + [(3, b"b" * 16), (4, b"c" * 16), (4, b"d" * 16)]
+    batches = []
+    for x in range(0, len(rows), 5):
+        part = rows[x : x + 5]
+        words = linking.id_longs([r[1] for r in part])
+        batches.append(pa.RecordBatch.from_arrays([pa.array([r[0] for r in part]), pa.array(words[:, 0].copy()), pa.array(words[:, 1].copy())], names=["key", "hi", "lo"]))
+    got = [r for columns in stream(iter(batches)) for r in zip(*(c.to_pylist() for c in columns), strict=True)]
+    two = [r for r in got if r[0] == 2]
+    assert {r[1] for r in two} == set(ids) and all(r[4] for r in two) and len({r[2] for r in two}) == 1
+    assert sum(r[3] is None for r in two) == 1 and [r[1] for r in got if r[0] == 4] == [b"c" * 16, b"d" * 16] and {r[0] for r in got} == {2, 4}
