@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumenframe.llm.batches import fresh
-from lumenframe.llm.linking import KEYS, components, filter_bits, find_links, first_bytes, id_firsts, key_arrays, map_arrow, may_hold, merge_chunks
+from lumenframe.llm.linking import KEYS, components, filter_of, find_links, first_bytes, id_firsts, key_arrays, map_arrow, merge_chunks
 from lumenframe.llm.words import MIX, scramble, slices
 from lumenframe.plans.scratch import cut, discard, numbered
 
@@ -157,7 +157,8 @@ def links(p: bytes, q: bytes, percent: int = PERCENT) -> bool:
 
 
 def scan_sets(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, np.ndarray]:
-    """doc_id, n, id, f (sketch) and g (long sketch) of every document, and the table of list lengths in hash order."""
+    """A stored table of doc_id, n, id, f (sketch) and g (long sketch) of every document (rows whose chunk is null), and
+    the table of list lengths in hash order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[list[pa.Array]]:
         counts, seen = np.zeros(1 << TABLE_BITS, np.uint32), set()
@@ -186,7 +187,7 @@ def scan_sets(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, np.nd
     table = np.zeros((1 << TABLE_BITS) // CHUNK * CHUNK, np.uint64).reshape(-1, CHUNK)
     for chunk, x in merge_chunks(both.where("chunk is not null").select("chunk", F.col("n").cast("int").alias("part"), "f"), "<u8", np.add).items():
         table[chunk] = x
-    return both.where("chunk is null").drop("chunk"), table.ravel()
+    return both, table.ravel()
 
 
 def key_rows(docs: DataFrame, hot: np.ndarray, small: int, percent: int = PERCENT) -> DataFrame:
@@ -229,25 +230,27 @@ def key_rows(docs: DataFrame, hot: np.ndarray, small: int, percent: int = PERCEN
 def similar_sets(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Of every row of ``docs`` (doc_id, text): doc_id, n_shingles, component_id."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sets, table = scan_sets(rows, percent)
+    scanned, table = scan_sets(rows, percent)
     held = table[table > 0].astype(float)
     mean = held.sum() / len(table)
     mean_list = (held**2).sum() / held.sum() if len(held) else 1.0
     hot = table >= max(HOT, MEANS * mean)
     small = boundary(mean_list, percent)
-    known = sets.where("id is not null").groupBy("id").agg(F.min("doc_id").alias("doc_id"), F.first("f").alias("f"), F.first("g").alias("g"))
+    known = scanned.where("chunk is null and id is not null").groupBy("id").agg(F.min("doc_id").alias("doc_id"), F.first("f").alias("f"), F.first("g").alias("g"))
     known = cut(known, "known-sets")
+    sets = cut(scanned.where("chunk is null").select("doc_id", "n", "id"), "set-ids")
+    discard(scanned)
     held = [known]  # tables that the search alone reads
 
     def payloads(wanted: DataFrame) -> DataFrame:
         reps = cut(known.join(wanted, "id").select("doc_id", "id"), "wanted")
         held.append(reps)
-        shared = docs.sparkSession.sparkContext.broadcast(filter_bits(reps.select("doc_id")))
+        shared = docs.sparkSession.sparkContext.broadcast(filter_of(reps.select("doc_id")))  # of bounded size
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[list[pa.Array]]:
             seen: set[bytes] = set()
             for b in batches:
-                mask = may_hold(shared.value, b.column(0).fill_null(0).to_numpy().view(np.uint64)) | b.column(0).is_null().to_numpy(zero_copy_only=False)
+                mask = shared.value.may_hold(b.column(0).fill_null(0).to_numpy()) | b.column(0).is_null().to_numpy(zero_copy_only=False)
                 ids, sets_out = [], []
                 for s in shingle_sets(b.column(1).filter(pa.array(mask))):
                     if len(s) and (i := set_id(s)) not in seen:
@@ -268,11 +271,11 @@ def similar_sets(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
         # a filter of bounded size spares most sketches the shuffle; the join decides
         wanted = cut(wanted, "wanted-sketches")
         held.append(wanted)
-        shared = docs.sparkSession.sparkContext.broadcast(filter_bits(wanted.select(first_bytes())))
+        shared = docs.sparkSession.sparkContext.broadcast(filter_of(wanted.select(first_bytes())))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[list[pa.Array]]:
             for b in batches:
-                mask = pa.array(may_hold(shared.value, id_firsts(b.column(0))))
+                mask = pa.array(shared.value.may_hold(id_firsts(b.column(0))))
                 yield [b.column(0).filter(mask), b.column(1).filter(mask)]
 
         return map_arrow(known.select("id", F.coalesce("g", "f").alias("p")), run, "id binary, p binary").join(wanted, "id")

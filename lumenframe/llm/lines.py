@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from lumenframe.llm.batches import fresh
 from lumenframe.llm.jaccard import SEEN
-from lumenframe.llm.linking import KEYS, components, filter_bits, find_links, first_bytes, id_longs, key_arrays, map_arrow, may_hold
+from lumenframe.llm.linking import KEYS, components, filter_of, find_links, first_bytes, id_longs, key_arrays, map_arrow
 from lumenframe.plans.scratch import cut, discard, numbered
 
 THRESHOLD, MIN_CHARS = 2, 40
@@ -168,7 +168,7 @@ def key_rows(docs: DataFrame, threshold: int = THRESHOLD, min_chars: int = MIN_C
 
 def lines_of(docs: DataFrame, wanted: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     """(id, p): each line, as UTF-8, of a stored table of ids."""
-    shared = docs.sparkSession.sparkContext.broadcast(filter_bits(wanted.select(first_bytes())))
+    shared = docs.sparkSession.sparkContext.broadcast(filter_of(wanted.select(first_bytes())))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[list[pa.Array]]:
         seen: set[bytes] = set()
@@ -176,7 +176,7 @@ def lines_of(docs: DataFrame, wanted: DataFrame, min_chars: int = MIN_CHARS) ->
             found = list(new_lines(b.column(0).to_pylist(), seen, min_chars))
             if not found:
                 continue
-            held = [found[k] for k in np.flatnonzero(may_hold(shared.value, id_longs([i for i, _ in found])[:, 0].view(np.uint64) >> np.uint64(8)))]
+            held = [found[k] for k in np.flatnonzero(shared.value.may_hold(id_longs([i for i, _ in found])[:, 0].view(np.uint64) >> np.uint64(8)))]
             yield [pa.array([i for i, _ in held], pa.binary()), pa.array([line.encode("utf-8", "surrogatepass") for _, line in held], pa.binary())]
 
     rows = map_arrow(docs.select("text"), run, "id binary, p binary")

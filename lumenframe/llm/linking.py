@@ -13,18 +13,17 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from lumenframe.llm.batches import whole
-from lumenframe.llm.words import scramble
 from lumenframe.plans.scratch import cut, discard
 
 #: Ids in a block of round 2.
@@ -35,7 +34,7 @@ FEW = 3
 HELD = 100_000
 LINK, KEYS = "a binary, b binary", "key long, hi long, lo long"
 #: Parts that meet at once on the way to one; bits of the largest filter.
-FAN, FILTER_BITS = 64, 27
+FAN, FILTER_BITS = 256, 27
 
 
 def id_words(column: pa.Array) -> np.ndarray:
@@ -175,32 +174,27 @@ def merge_chunks(rows: DataFrame, kind: str, add: np.ufunc) -> dict[int, np.ndar
             return {r["chunk"]: np.frombuffer(zlib.decompress(bytes(r["f"])), kind) for r in rows.collect()}
 
 
-def filter_bits(ids: DataFrame) -> np.ndarray:
-    """A packed filter that takes every id of a stored table (column 1, long): eight bits an id, 2 ** ``FILTER_BITS`` at most."""
-    bits = min(FILTER_BITS, max(16, (8 * ids.count()).bit_length()))
-    size = 1 << min(bits, 19)  # bits of a chunk
+@dataclass(frozen=True)
+class Filter:
+    """A set of places, one for each number given; takes others by chance."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[list[pa.Array]]:
-        places = np.zeros(1 << bits, bool)
-        for b in batches:
-            places[scramble(b.column(0).drop_null().to_numpy().view(np.uint64)) & np.uint64(len(places) - 1)] = True
-        part = TaskContext.get().partitionId()
-        for c in range(0, len(places), size):
-            if places[c : c + size].any():
-                yield [pa.array([c // size]), pa.array([part]), pa.array([zlib.compress(np.packbits(places[c : c + size]).tobytes(), 1)], pa.binary())]
-
-    rows = cut(map_arrow(ids, run, "chunk int, part int, f binary"), "filter-parts")
-    out = np.zeros(((1 << bits) // size, size // 8), np.uint8)
-    for chunk, x in merge_chunks(rows, "u1", np.bitwise_or).items():
-        out[chunk] = x
-    discard(rows)
-    return out.ravel()
-
-
-def may_hold(packed: np.ndarray, ids: np.ndarray) -> np.ndarray:
-    """False only for ids that ``filter_bits`` wasn't given."""
-    at = scramble(ids) & np.uint64(8 * len(packed) - 1)
-    return (packed[at >> np.uint64(3)] >> (np.uint8(7) - (at & np.uint64(7)).astype(np.uint8)) & 1).astype(bool)
+    words: np.ndarray
+    size: int
+
+    def may_hold(self, ids: np.ndarray) -> np.ndarray:
+        """False only for numbers that weren't given."""
+        at = np.mod(ids.astype(np.int64), self.size)
+        return (self.words[at >> 6] >> (at & 63).astype(np.uint64) & np.uint64(1)).astype(bool)
+
+
+def filter_of(ids: DataFrame) -> Filter:
+    """Of a stored table (column 1, long): 64 places a number, 2 ** ``FILTER_BITS`` at most, an odd number of them."""
+    size = min(1 << FILTER_BITS, max(1 << 16, 64 * ids.count())) | 1
+    at = ids.select(F.pmod(F.col(ids.columns[0]), F.lit(size)).alias("at")).where("at is not null")
+    found = at.groupBy(F.shiftright("at", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at % 64 as int))")).alias("bits")).toArrow()  # at most 2 ** FILTER_BITS / 64 rows
+    words = np.zeros((size >> 6) + 1, np.uint64)
+    words[found.column("word").to_numpy()] = found.column("bits").to_numpy().view(np.uint64)
+    return Filter(words, size)
 
 
 def first_bytes(column: str = "id") -> Column:

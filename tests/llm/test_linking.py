@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -103,13 +104,16 @@ def test_round_two_over_several_blocks(spark, monkeypatch):
 
 
 def test_filters_and_merged_chunks(spark, monkeypatch):
-    monkeypatch.setattr(linking, "FAN", 2)
-    given = np.arange(0, 5000, 3)
+    given = np.arange(-30, 5000, 3)
     ids = spark.createDataFrame([(int(i),) for i in given] + [(None,)], "id long").repartition(7)
-    packed = linking.filter_bits(ids)
-    assert linking.may_hold(packed, given.astype(np.uint64)).all()
-    assert linking.may_hold(packed, np.arange(1, 50_000, 3, dtype=np.uint64)).mean() < 0.3
-    assert not linking.may_hold(linking.filter_bits(ids.limit(0)), given.astype(np.uint64)).any()
+    held = linking.filter_of(ids)
+    assert held.may_hold(given).all()
+    assert held.may_hold(np.arange(1, 50_000, 3)).mean() < 0.1
+    assert not linking.filter_of(ids.limit(0)).may_hold(given).any()
+    monkeypatch.setattr(linking, "FAN", 2)
+    parts = [(c, p, bytearray(zlib.compress(np.full(4, 10 * c + p, np.uint64).tobytes()))) for c in range(3) for p in range(9) if (c + p) % 4]
+    merged = linking.merge_chunks(spark.createDataFrame(parts, "chunk int, part int, f binary").repartition(5), "<u8", np.add)
+    assert {c: x.tolist() for c, x in merged.items()} == {c: [sum(10 * c + p for p in range(9) if (c + p) % 4)] * 4 for c in range(3)}
 
 
 def test_a_key_of_many_rows_goes_on_in_parts(stream, monkeypatch):
