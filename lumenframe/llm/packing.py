@@ -30,7 +30,7 @@ from lumenframe.plans.scratch import cut
 
 CAPACITY, END_ID, GROUP = 4096, 1, 100_000
 #: Words that a worker remembers before it starts anew.
-REMEMBERED = 500_000
+REMEMBERED = 800_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 # The vocabulary's pattern of pieces.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -49,8 +49,9 @@ def unassigned() -> str:
     return "".join(out)
 
 
-#: Texts with these go through the tokenizer as a whole: special tokens, controls that Python takes for white space, and
-#: code points that Python, the pattern library and the tokenizer may know by different versions of Unicode.
+#: Texts with these go through the tokenizer as a whole: special tokens, and controls that Python takes for white space.
+#: So do texts with code points that Python, the pattern library and the tokenizer may know by different versions of
+#: Unicode: each new word is looked at for them.
 WHOLE = re.compile("[\x1c-\x1f]|<\\|(?:start|end)oftext\\|>")
 
 
@@ -78,10 +79,13 @@ class WordTokens:
         self.whole = Tokenizer.from_file(path)
         self.model = self.whole.model
         self.find = regex.compile(PATTERN).findall
+        self.unknown = unknown().search
         self.letters = dict(enumerate(byte_letters()))
-        self.words: dict[str, bytes] = {}
+        self.words: dict[str, bytes | None] = {}  # none: only the whole text tells
 
-    def _word(self, word: str) -> bytes:
+    def _word(self, word: str) -> bytes | None:
+        if not word.isascii() and self.unknown(word):
+            return None
         ids: list[int] = []
         for piece in (word,) if word.isalpha() else self.find(word):
             ids += [t.id for t in self.model.tokenize(piece.encode().decode("latin-1").translate(self.letters))]
@@ -95,10 +99,13 @@ class WordTokens:
             text = text.replace(", ", " , ").replace(". ", " . ").replace(".\n", " . ").replace(",\n", " , ")
         return text
 
+    def _whole(self, text: str) -> bytes:
+        return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
     def encode(self, text: str | None) -> bytes:
         text = text or ""
-        if WHOLE.search(text) or not text.isascii() and unknown().search(text):
-            return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        if WHOLE.search(text):
+            return self._whole(text)
         words, known = self._ready(text).split(), self.words
         try:
             return b"".join(map(known.__getitem__, words))
@@ -108,7 +115,12 @@ class WordTokens:
             for w in words:
                 if w not in known:
                     known[w] = self._word(w)
+        except TypeError:  # a word says none
+            return self._whole(text)
+        try:
             return b"".join(map(known.__getitem__, words))
+        except TypeError:
+            return self._whole(text)
 
 
 _tokens: dict[str, WordTokens] = {}
