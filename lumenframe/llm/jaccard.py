@@ -262,13 +262,13 @@ def similar_sets(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
                 if ids:
                     yield [pa.array(ids, pa.binary()), pa.array(sets_out, pa.binary())]
 
-        return map_arrow(rows, run, "id binary, p binary").join(reps.select("id"), "id", "left_semi").dropDuplicates(["id"])
+        return map_arrow(rows, run, "id binary, p binary").dropDuplicates(["id"])
 
     def features(wanted: DataFrame) -> DataFrame:
         return known.join(wanted, "id").select("id", "f")
 
     def long_features(wanted: DataFrame) -> DataFrame:
-        # a filter of bounded size spares most sketches the shuffle; the join decides
+        # a filter of bounded size spares most sketches the shuffle; the join with the pairs decides
         wanted = cut(wanted, "wanted-sketches")
         held.append(wanted)
         shared = docs.sparkSession.sparkContext.broadcast(filter_of(wanted.select(first_bytes())))
@@ -278,7 +278,7 @@ def similar_sets(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
                 mask = pa.array(shared.value.may_hold(id_firsts(b.column(0))))
                 yield [b.column(0).filter(mask), b.column(1).filter(mask)]
 
-        return map_arrow(known.select("id", F.coalesce("g", "f").alias("p")), run, "id binary, p binary").join(wanted, "id")
+        return map_arrow(known.select("id", F.coalesce("g", "f").alias("p")), run, "id binary, p binary")
 
     found = find_links(
         key_rows(rows, hot, small, percent),

@@ -32,6 +32,8 @@ BLOCK = 512
 FEW = 3
 #: Rows of one key that a task holds at once.
 HELD = 100_000
+#: Links that a task contracts at once.
+EDGES = 1 << 17
 LINK, KEYS = "a binary, b binary", "key long, hi long, lo long"
 #: Parts that meet at once on the way to one; bits of the largest filter.
 FAN, FILTER_BITS = 256, 27
@@ -206,10 +208,62 @@ def id_firsts(column: pa.Array) -> np.ndarray:
     return id_words(column)[:, 0].byteswap() >> np.uint64(8)
 
 
+def stars_of(ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of edges (rows of four words, two for each end, high bytes first) every id once and the smallest id of its
+    component. Roots hook to smaller neighbours, so their number halves in two rounds at most."""
+    ids = ends.reshape(-1, 2)
+    order = np.lexsort((ids[:, 1], ids[:, 0]))
+    ids = ids[order]
+    new = np.ones(len(ids), bool)
+    new[1:] = (ids[1:] != ids[:-1]).any(axis=1)
+    place = np.empty(len(ids), np.int64)
+    place[order] = np.cumsum(new) - 1
+    ids = ids[new]
+    a, b = place.reshape(-1, 2).T
+    root = np.arange(len(ids))
+    while len(a):
+        a, b = root[a], root[b]
+        apart = a != b
+        a, b = a[apart], b[apart]
+        np.minimum.at(root, np.maximum(a, b), np.minimum(a, b))
+        while ((up := root[root]) != root).any():
+            root = up
+    return ids, ids[root]
+
+
+def contracted(links: DataFrame, parts: int, most: int) -> DataFrame:
+    """id, comp: the links (a, b), each task's own components as stars, found over ``most`` links at a time. A task of
+    so many links or fewer gives each id once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[list[pa.Array]]:
+        def out(ids: np.ndarray, roots: np.ndarray) -> list[pa.Array]:
+            return [id_bytes(ids.byteswap()), id_bytes(roots.byteswap())]
+
+        held = np.empty((0, 4), np.uint64)
+        for b in batches:
+            held = np.concatenate((held, np.hstack((id_words(b.column(0)), id_words(b.column(1)))).byteswap()))
+            if len(held) > most:
+                ids, roots = stars_of(held)
+                held = np.hstack((ids, roots))[(ids != roots).any(axis=1)]
+                if 2 * len(held) > most:
+                    yield out(ids, roots)
+                    held = held[:0]
+        if len(held):
+            yield out(*stars_of(held))
+
+    return map_arrow(links.select("a", "b").coalesce(max(1, parts)), run, "id binary, comp binary")
+
+
 def components(links: DataFrame) -> DataFrame:
-    """id, comp (the smallest id of its component) of every id in ``links`` (a, b), by alternating large and small
-    stars until nothing changes."""
-    e = cut(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+    """id, comp (the smallest id of its component) of every id in ``links`` (a, b; a stored table). Tasks contract what
+    they read, ``EDGES`` links at a time; where that takes several tasks, alternating large and small stars follow until
+    nothing changes."""
+    links, most = links.where("a <> b"), EDGES
+    parts = -(-links.count() // most)
+    forest = cut(contracted(links, parts, most), "forest")
+    if parts <= 1:
+        return forest
+    e = forest.where("id <> comp").select(F.col("id").alias("a"), F.col("comp").alias("b"))
     mark = None
     while True:
         now = e.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.lit(0))).first()
@@ -222,10 +276,11 @@ def components(links: DataFrame) -> DataFrame:
         large = cut(large, "large-star")
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         rest = large.join(low, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        before, e = e, cut(rest.unionByName(low.withColumnRenamed("m", "b")).distinct(), "small-star")
+        before, forest = forest, cut(rest.unionByName(low.withColumnRenamed("m", "b")).distinct(), "small-star")
         discard(before, large)
+        e = forest
     out = cut(e.select(F.col("a").alias("id"), F.col("b").alias("comp")).unionByName(e.select(F.col("b").alias("id"), F.col("b").alias("comp")).distinct()), "components")
-    discard(e)
+    discard(forest)
     return out
 
 
@@ -287,7 +342,7 @@ def ordered(pairs: DataFrame) -> DataFrame:
 def find_links(rows: DataFrame, features: Callable[[DataFrame], DataFrame], near: Callable[[bytes, list[bytes]], np.ndarray], payloads: Callable[[DataFrame], DataFrame], test: Callable[[bytes, bytes], bool], finer: tuple[Callable[[DataFrame], DataFrame], Callable[[bytes, bytes], bool]] | None = None) -> DataFrame:
     """Links (a, b) that span the same components as all links between ids that share a key.
 
-    ``features`` gives (id, f) and ``payloads`` (id, p) for a table of ids. ``near`` must let every link through,
+    ``features`` gives (id, f) and ``payloads`` (id, p) for a table of ids; others may come along. ``near`` must let every link through,
     ``test`` decides. ``finer``, if given, has larger features (id, p) and a test on them that lets every link through:
     payloads are then shuffled only for pairs that pass it."""
     shared = cut(shared_rows(rows), "shared")

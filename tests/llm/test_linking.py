@@ -130,3 +130,56 @@ def test_a_key_of_many_rows_goes_on_in_parts(stream, monkeypatch):
     two = [r for r in got if r[0] == 2]
     assert {r[1] for r in two} == set(ids) and all(r[4] for r in two) and len({r[2] for r in two}) == 1
     assert sum(r[3] is None for r in two) == 1 and [r[1] for r in got if r[0] == 4] == [b"c" * 16, b"d" * 16] and {r[0] for r in got} == {2, 4}
+
+
+def brute_smallest(pairs):
+    """Of every end of pairs that differ the smallest one reachable."""
+    comp = {x: x for a, b in pairs if a != b for x in (a, b)}
+    while any(comp[a] != comp[b] for a, b in pairs if a != b):
+        for a, b in pairs:
+            if a != b:
+                comp[a] = comp[b] = min(comp[a], comp[b])
+    return comp
+
+
+def random_links(rnd, ids, n):
+    return [(ids[rnd.randrange(len(ids))], ids[rnd.randrange(len(ids))]) for _ in range(n)]
+
+
+def test_stars_of_random_links():
+    rnd = random.Random(5)
+    for _ in range(300):
+        ids = [(rnd.choice((0, 1 << 64, 255 << 120)) | rnd.randrange(40)).to_bytes(16, "big") for _ in range(30)]
+        pairs = [(a, b) for a, b in random_links(rnd, ids, rnd.randint(1, 40)) if a != b]
+        words = np.hstack([linking.id_longs([p[k] for p in pairs]).view(np.uint64) for k in (0, 1)]) if pairs else np.empty((0, 4), np.uint64)
+        got, roots = (linking.id_bytes(x.byteswap()).to_pylist() for x in linking.stars_of(words))
+        assert len(set(got)) == len(got)
+        assert dict(zip(got, roots, strict=True)) == brute_smallest(pairs)
+
+
+@pytest.mark.parametrize("most", [3, 50, 1 << 17])
+def test_components_over_one_task_or_several(spark, monkeypatch, most):
+    monkeypatch.setattr(linking, "EDGES", most)
+    rnd = random.Random(6)
+    ids = [rnd.getrandbits(128).to_bytes(16, "big") for _ in range(150)]
+    pairs = random_links(rnd, ids, 90) + list(zip(ids[:60], ids[1:61], strict=True)) * 2 + [(i, i) for i in ids[-9:]]
+    rnd.shuffle(pairs)
+    links = spark.createDataFrame([(bytearray(a), bytearray(b)) for a, b in pairs], linking.LINK).repartition(8)
+    got = [(bytes(r["id"]), bytes(r["comp"])) for r in linking.components(links).collect()]
+    assert len(got) == len(dict(got))
+    assert dict(got) == brute_smallest(pairs)
+    assert linking.components(links.limit(0)).count() == 0
+
+
+def test_a_long_chain_takes_few_jobs(spark):
+    """Rounds of stars grow with a chain's length, and each costs several stages."""
+    ids = [i.to_bytes(16, "big") for i in range(2000)]
+    links = spark.createDataFrame([(bytearray(a), bytearray(b)) for a, b in zip(ids, ids[1:], strict=False)], linking.LINK)
+    spark.sparkContext.setJobGroup("chain", "components of a chain")
+    try:
+        comps = linking.components(links)
+        jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("chain"))
+    finally:
+        spark.sparkContext._jsc.clearJobGroup()
+    assert {bytes(r["comp"]) for r in comps.collect()} == {ids[0]} and comps.count() == len(ids)
+    assert jobs <= 4
