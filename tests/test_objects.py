@@ -16,7 +16,7 @@ def plane(text, inverse):
     return 1 - p if inverse else p
 
 
-@pytest.mark.parametrize("name, inverse", [("Otsu Object Features", False)])
+@pytest.mark.parametrize("name, inverse", [("Otsu Object Features", False), ("Inverse-Otsu Object Features", True)])
 def test_objects_at_one_distance_share_a_bin(name, inverse):
     even, half = (DESCRIPTORS[name].run(Image(plane(t, inverse))) for t in (EVEN, HALF))
     assert even[17] == half[17] == 2 and even[10] == even[13]
@@ -24,7 +24,7 @@ def test_objects_at_one_distance_share_a_bin(name, inverse):
     assert half[32] == 9.5890625
 
 
-@pytest.mark.parametrize("query, name, inverse", [("F12_objects", "Otsu Object Features", False)])
+@pytest.mark.parametrize("query, name, inverse", [("F12_objects", "Otsu Object Features", False), ("F13_inverse_objects", "Inverse-Otsu Object Features", True)])
 def test_object_features_agree_with_sql(query, name, inverse):
     con = duckdb.connect()
     con.execute("CREATE TABLE embeddings (vec_id BIGINT, label INT, embedding FLOAT[])")
