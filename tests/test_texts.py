@@ -9,7 +9,7 @@ from lumenframe.plans.queries import QUERIES
 TEXTS = ["", None, "a", "x" * 32, "line\n" * 4_000, "\U0001f600é" * 333]
 
 
-@pytest.mark.parametrize("query, name", [("F9_fractal", "Fractal Features")])
+@pytest.mark.parametrize("query, name", [("F9_fractal", "Fractal Features"), ("F10_intensity_texts", "Pixel Intensity Statistics")])
 def test_text_planes_stay_in_one_task(spark, tmp_path, query, name):
     spark.createDataFrame(list(enumerate(TEXTS)), "doc_id int, text string").write.parquet(f"{tmp_path}/documents.parquet")
     out = QUERIES[query](spark, str(tmp_path))
